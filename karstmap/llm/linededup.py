@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karstmap.llm.common import by_batch, stored, text_bytes, utf8
+from karstmap.llm.common import by_batch, slices, stored, text_bytes, utf8
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SEGMENT_BITS = 1 << 21
@@ -77,7 +77,7 @@ def _local(batches: Iterator[pa.RecordBatch], segments: int, least: int) -> Iter
         rows = [(int(owner[a]), unique[a:b].tobytes(), unique[a:b][counts[a:b] > 1].tobytes()) for a, b in zip(starts, [*starts[1:], len(owner)], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["segment", "once", "twice"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for text in utf8(batch):
             held.extend({k for k in keys_of(text, least) if k})
             if len(held) >= FLUSH:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karstmap.llm import decontaminate, langid, linededup, media
+from karstmap.llm import decontaminate, langid, linededup, lmscore, media, packing
 from karstmap.llm.common import fold_of, table
 
 
@@ -15,6 +15,22 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_texts(table(spark, sf_dir, "documents"))
 
 
+def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizer())
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(fold_of("doc_id", 5) == 1, F.lit(False)).alias("held_out")
+    return lmscore.language_model_scores(docs).select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.deduplicated(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -34,6 +50,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": op1_media_columns,
+        "op4_packing": op4_packing,
+        "op5_lm_scoring": op5_lm_scoring,
         "op7_line_dedup": op7_line_dedup,
         "op8_decontamination": op8_decontamination,
         "op10_language_id": op10_language_id,
