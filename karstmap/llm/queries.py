@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karstmap.llm import decontaminate, langid, linededup, lmscore, media, packing
+from karstmap.llm import decontaminate, langid, linededup, lmscore, media, packing, toxicity
 from karstmap.llm.common import fold_of, table
 
 
@@ -15,6 +15,13 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_texts(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.scored(docs, toxicity.trained(docs, toxicity.learnable(labels)))
+    held = F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held, "score", "predicted")
+
+
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -50,6 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": op1_media_columns,
+        "op2_toxicity": op2_toxicity,
         "op4_packing": op4_packing,
         "op5_lm_scoring": op5_lm_scoring,
         "op7_line_dedup": op7_line_dedup,
