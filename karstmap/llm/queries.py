@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karstmap.llm import decontaminate, langid, linededup, lmscore, media, packing, toxicity
+from karstmap.llm import decontaminate, langid, linededup, lmscore, media, packing, secrets, toxicity
 from karstmap.llm.common import fold_of, table
 
 
@@ -22,6 +22,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held, "score", "predicted")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": op1_media_columns,
         "op2_toxicity": op2_toxicity,
+        "op3_secret_scan": op3_secret_scan,
         "op4_packing": op4_packing,
         "op5_lm_scoring": op5_lm_scoring,
         "op7_line_dedup": op7_line_dedup,
