@@ -22,23 +22,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from karstmap.llm.common import by_batch, slices, stored
 
 CAPACITY, END_ID = 4096, 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 ROUNDS, BLOCK, SHARE, RATE = 4000, 96, 0.1, 0.5
 FULL, MISSES = 0.995, 40  # so full is a configuration that is used; so many that are not end the rounds
 FILLER = 12  # pieces shorter than this part of the capacity wait for the best fit
 PART_ROWS = 200_000
+SLICE, LEARN = 1000, 1000
 
 
 class WordIds(dict):
     """Ids of white-space separated words as little-endian bytes; words met before are looked up.
 
-    The tokenizer drops white space and never merges over it, so the words' ids in a row are the text's.
+    The tokenizer drops white space, never merges over it and lower-cases, so a text's ids are its
+    words' in a row. New words of letters alone are encoded together, as one text. When the newer half of the
+    store is full it becomes the older one; words still in use move on from there.
     """
 
     def __init__(self, path: str):
@@ -49,26 +53,58 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[str, bytes] = {}
+        self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # of ids that end a piece
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.tails = {c: self.encode(c) for c in ".,"}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        core = word[:-1]
-        if word[-1:] in self.tails and word and core.isalpha():
-            ids = self[core] + self.tails[word[-1]]
-        elif word.isascii() and word.isalpha() and not word.islower():
-            ids = self[word.lower()]
-        else:
-            ids = self.encode(word)
+        ids = self.older.get(word)
+        if ids is None:
+            core = word[:-1]
+            ids = self[core] + self.tails[word[-1]] if core.isalpha() and word[-1] in self.tails else self.encode(word)
         self[word] = ids
         return ids
 
-    def ids(self, text: str | None) -> bytes:
+    def learn(self, words: set[str]) -> None:
+        """Encodes the letters of the new words in a few calls; letters that don't stay one piece are left for later."""
+        tails = self.tails
+        derived = [w for w in words if w[-1:] in tails and w[:-1].isalpha()]
+        new = {w[:-1] for w in derived}
+        new.update(w for w in words if w.isalpha())
+        new = [w for w in new if w not in self and w not in self.older]
+        for at in range(0, len(new), LEARN):
+            few = new[at : at + LEARN]
+            raw = np.array(self.tokenizer.encode_batch_fast([" ".join(few)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[raw]) + 1
+            if len(ends) == len(few):
+                ids, stops = raw.tobytes(), (ends * 4).tolist()
+                self.update(zip(few, [ids[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+        self.update({w: self[w[:-1]] + tails[w[-1]] for w in derived})
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, and where each text's begin and the last one's end."""
         if len(self) > CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        texts = texts.fill_null("")
+        # capitals inside a special token's marks would make it one, so such texts keep theirs
+        lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        apart = pc.replace_substring_regex(lower, r"(\p{L})([.,])([ \n]|$)", r"\1 \2\3")  # a piece of its own in any case
+        split = pc.split_pattern(pc.replace_substring(apart, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+        self.learn({w for w in words if w not in self})
+        own = list(map(self.__getitem__, words))
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat, starts = np.frombuffer(b"".join(own), "<u4"), np.cumsum(sizes) - sizes
+        count = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        places = np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], count)
+        return flat[places], ends[np.asarray(split.offsets) - split.offsets[0].as_py()]
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -87,10 +123,11 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             found: list[tuple] = []
-            for i, text in enumerate(batch.column(text_col).to_pylist()):
-                ids = words.ids(text) + end
+            flat, ends = words.ids(batch.column(text_col))
+            for i in range(batch.num_rows):
+                ids = flat[ends[i] : ends[i + 1]].tobytes() + end
                 for k in range(0, len(ids), 4 * capacity):
                     own = ids[k : k + 4 * capacity]
                     found.append((i, k // (4 * capacity), k // 4, len(own) // 4, zlib.crc32(own), own if with_ids else None))
