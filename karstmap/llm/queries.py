@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karstmap.llm import decontaminate, langid, linededup, lmscore, media, packing, secrets, toxicity
+from karstmap.llm import decontaminate, htmltext, langid, linededup, lmscore, media, packing, secrets, toxicity
 from karstmap.llm.common import fold_of, table
 
 
@@ -42,6 +42,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.language_model_scores(docs).select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.deduplicated(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": op3_secret_scan,
         "op4_packing": op4_packing,
         "op5_lm_scoring": op5_lm_scoring,
+        "op6_html_extraction": op6_html_extraction,
         "op7_line_dedup": op7_line_dedup,
         "op8_decontamination": op8_decontamination,
         "op10_language_id": op10_language_id,
