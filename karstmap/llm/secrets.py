@@ -28,6 +28,7 @@ KINDS = ("assign", "access", "hex", "markov")
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 LEAST_CHARS, THRESHOLD = 20, math.log(1e6)
+RARE, BACK_OFF = 0.1, 10.0  # a pair's rate leans on its second character's as on so many pairs
 FIRST, SYMBOLS = 43, 80  #: codes of the characters from + to z
 SAMPLE_DOCS, SAMPLE_BYTES, RANDOM_ROWS = 2000, 1 << 16, 4000
 
@@ -71,13 +72,15 @@ def pair_counts(samples: DataFrame) -> DataFrame:
 
 def trained(samples: DataFrame) -> list[float]:
     """Log ratios, random over ordinary, for each pair of characters; samples has text and label (1 random, 0 ordinary)."""
-    counts = {0: [1.0] * SYMBOLS**2, 1: [1.0] * SYMBOLS**2}
+    counts = {0: [0.0] * SYMBOLS**2, 1: [0.0] * SYMBOLS**2}
     for row in pair_counts(samples).collect():  # at most 2 x SYMBOLS^2 rows
         counts[row["label"]][row["a"] * SYMBOLS + row["b"]] += row["n"]
     rates = {}
     for label, own in counts.items():
-        sums = [sum(own[a * SYMBOLS : (a + 1) * SYMBOLS]) for a in range(SYMBOLS)]
-        rates[label] = [math.log(x / sums[i // SYMBOLS]) for i, x in enumerate(own)]
+        after = [sum(own[b::SYMBOLS]) + RARE for b in range(SYMBOLS)]  # of each character after any other
+        before = [sum(own[a * SYMBOLS : (a + 1) * SYMBOLS]) for a in range(SYMBOLS)]
+        share = [x / sum(after) for x in after]
+        rates[label] = [math.log((x + BACK_OFF * share[i % SYMBOLS]) / (before[i // SYMBOLS] + BACK_OFF)) for i, x in enumerate(own)]
     return [round(r - o, 6) for r, o in zip(rates[1], rates[0], strict=True)]
 
 
