@@ -1,10 +1,10 @@
 """A hidden Markov language model, trained by Baum-Welch over all training texts, and a unigram base.
 
 Counts of all training tokens are summed in the shuffle; nothing is left out of them. The commonest
-words, at most ``HEAD_WORDS``, are sent to the tasks; all others are the model's one rare symbol,
-whose words' own probabilities come from a join with the counts. So a text's probability is exact:
-that of its symbols, by the scaled forward recursion over the latent states, times that of each
-rare word among the rare. A rare word occurs seldom by its definition, so the join has no hot key
+words, at most ``HEAD_WORDS``, are sent to the tasks with their counts; those of all others come from
+a join. The ``MODEL_WORDS`` commonest are symbols of the model, all other words its one rare symbol. So a
+text's probability is exact: that of its symbols, by the scaled forward recursion over the latent
+states, times that of each rare word among the rare, by their counts. A rare word occurs seldom by its definition, so the join has no hot key
 but a word that training never saw.
 
 Texts are coded once and stored. A round of Baum-Welch runs forward and backward over many texts at
@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 
 from karstmap.llm.common import by_batch, fold_of, slices, stored, utf8
 
-STATES, ROUNDS, SAMPLE_ROUNDS, SAMPLE_DOCS, SAMPLE_BYTES = 8, 4, 25, 300, 1 << 15
+STATES, ROUNDS, SAMPLE_ROUNDS, SAMPLE_DOCS, SAMPLE_BYTES = 4, 2, 25, 300, 1 << 15
 RARE_LEVEL = 2  #: words of under 4 occurrences are always rare, so the rare symbol has the weight that new words need
-HEAD_WORDS, BLOCK_WORDS, CHUNK, BATCH_TOKENS, FLUSH = 200_000, 16_384, 2048, 1_000_000, 200_000
+HEAD_WORDS, MODEL_WORDS, BLOCK_WORDS, CHUNK, BATCH_TOKENS, FLUSH = 200_000, 32_768, 8_192, 2048, 1_000_000, 400_000
 END, RARE = 0, 1  #: symbols; the head words follow
 PRIOR = 0.05  #: share of the unigram distribution mixed into each state's
 SPREAD = 16
@@ -180,6 +180,11 @@ def pieces(coded: list[np.ndarray]) -> list[np.ndarray]:
     return [x[c : c + CHUNK] for x in coded for c in range(0, len(x), CHUNK)]
 
 
+def symbols_of(ids: np.ndarray, symbols: int) -> np.ndarray:
+    """Head words that aren't the model's become its rare symbol."""
+    return np.where(ids < symbols, ids, RARE)
+
+
 def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """Rows gathered until they hold BATCH_TOKENS tokens."""
     rows: list[dict] = []
@@ -215,13 +220,14 @@ def _added(df: DataFrame, by: tuple[str, ...], size: int) -> DataFrame:
 class Trained:
     """Counts, head words and model of a training set."""
 
-    def __init__(self, counts: DataFrame, total: int, distinct: int, words: list[bytes], head: np.ndarray, rare_total: int, rare_distinct: int):
-        self.counts, self.total, self.distinct = counts, total, distinct
-        self.words, self.head, self.rare_total, self.rare_distinct = words, head, rare_total, rare_distinct
-        self.model: Model | None = None
+    def __init__(self, counts: DataFrame, total: int, distinct: int, words: list[bytes], head: np.ndarray, model_words: int):
+        self.counts, self.total, self.distinct, self.words, self.head = counts, total, distinct, words, head
+        own = head[: model_words + 2]
+        self.symbols = len(own)
+        self.rare_total, self.rare_distinct = total - int(own.sum()), distinct - int((own > 0).sum())
 
 
-def learned_counts(train: DataFrame, text_col: str = "text", head_words: int = HEAD_WORDS) -> Trained:
+def learned_counts(train: DataFrame, text_col: str = "text", head_words: int = HEAD_WORDS, model_words: int = MODEL_WORDS) -> Trained:
     """All counts, and the head: the words of the smallest power of two of occurrences that at most head_words words reach."""
     counts = stored(counted(train, text_col), "counts")
     words = counts.where(F.length("word") > 0)
@@ -236,8 +242,7 @@ def learned_counts(train: DataFrame, text_col: str = "text", head_words: int = H
     n = sum(x[1] for x in levels.values()) + ends
     distinct = sum(x[0] for x in levels.values()) + (ends > 0)
     own = np.asarray(head.column("n"), np.int64) if len(head) else np.zeros(0, np.int64)
-    rare = [x for k, x in levels.items() if k < least]
-    return Trained(counts, n, distinct, head.column("word").to_pylist(), np.concatenate([[ends, 0], own]).astype(np.int64), sum(x[1] for x in rare), sum(x[0] for x in rare))
+    return Trained(counts, n, distinct, head.column("word").to_pylist(), np.concatenate([[ends, 0], own]).astype(np.int64), model_words)
 
 
 def coded(df: DataFrame, words: list[bytes], id_col: str = "doc_id", text_col: str = "text", train_col: str = "train") -> DataFrame:
@@ -265,13 +270,13 @@ def coded(df: DataFrame, words: list[bytes], id_col: str = "doc_id", text_col: s
 def baum_welch(rows: DataFrame, trained: Trained, train_col: str = "train", states: int = STATES, rounds: int = ROUNDS) -> Model:
     """rounds of expected counts over all training rows, each summed over the partitions by blocks of the vocabulary."""
     spark = rows.sparkSession
-    share = trained.head.astype(float)
+    share = trained.head[: trained.symbols].astype(float)
     share[RARE] = trained.rare_total
     unigram = (share + 0.5) / (share + 0.5).sum()
     train = rows.where(F.col(train_col))
     sample = train.where(F.octet_length("ids") <= SAMPLE_BYTES).orderBy(F.xxhash64("ids"), "row").limit(SAMPLE_DOCS).select("ids").toArrow()
-    model = seeded(pieces([np.frombuffer(x, np.int32) for x in sample.column("ids").to_pylist()]), unigram, states)
-    size = len(unigram)
+    size = trained.symbols
+    model = seeded(pieces([symbols_of(np.frombuffer(x, np.int32), size) for x in sample.column("ids").to_pylist()]), unigram, states)
     blocks = -(-size // BLOCK_WORDS)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((model.start, model.move, model.emit))
@@ -281,7 +286,7 @@ def baum_welch(rows: DataFrame, trained: Trained, train_col: str = "train", stat
             k = len(own.start)
             edge, emitted = np.zeros((k + 1, k)), np.zeros((size, k))
             for part in batches_of(batches):
-                first, moves, symbols = own.expected(pieces([r["ids"] for r in part]))
+                first, moves, symbols = own.expected(pieces([symbols_of(r["ids"], size) for r in part]))
                 edge[0] += first
                 edge[1:] += moves
                 emitted += symbols
@@ -302,7 +307,7 @@ def baum_welch(rows: DataFrame, trained: Trained, train_col: str = "train", stat
 def scored(rows: DataFrame, trained: Trained, model: Model, id_col: str = "doc_id", train_col: str = "train") -> DataFrame:
     """id_col, train_col, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = rows.sparkSession
-    kind = rows.schema[id_col].dataType.simpleString()
+    kind, symbols = rows.schema[id_col].dataType.simpleString(), trained.symbols
     shared = spark.sparkContext.broadcast((model.start, model.move, model.emit, np.log10(trained.head + 0.5), trained.head > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,9 +317,10 @@ def scored(rows: DataFrame, trained: Trained, model: Model, id_col: str = "doc_i
         logs[RARE], known = 0, known & (np.arange(len(known)) != RARE)
         for part in batches_of(batches):
             ids = [r["ids"] for r in part]
-            hmm = own.logp(ids) / np.log(10)
+            coded_ = [symbols_of(x, symbols) for x in ids]
+            hmm = own.logp(coded_) / np.log(10) + np.array([logs[x[x >= symbols]].sum() for x in ids])
             columns = [pa.array([r["row"] for r in part], pa.int64()), pa.array([r[id_col] for r in part], id_type), pa.array([r[train_col] for r in part], pa.bool_())]
-            columns += [pa.array([f(x) for x in ids], t) for f, t in ((len, pa.int64()), (lambda x: int(known[x].sum()), pa.int64()), (lambda x: int((x == RARE).sum()), pa.int64()), (lambda x: float(logs[x].sum()), pa.float64()))]
+            columns += [pa.array([f(x) for x in ids], t) for f, t in ((len, pa.int64()), (lambda x: int(known[x].sum()), pa.int64()), (lambda x: int((symbols_of(x, symbols) == RARE).sum()), pa.int64()), (lambda x: float(logs[x].sum()), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(hmm, pa.float64())], ["row", id_col, train_col, "n_tokens", "known", "n_rare", "head_log", "hmm"])
 
     from pyspark.sql.pandas.types import to_arrow_type
@@ -338,11 +344,11 @@ def scored(rows: DataFrame, trained: Trained, model: Model, id_col: str = "doc_i
     )
 
 
-def language_model_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, states: int = STATES, rounds: int = ROUNDS, head_words: int = HEAD_WORDS) -> DataFrame:
+def language_model_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, states: int = STATES, rounds: int = ROUNDS, head_words: int = HEAD_WORDS, model_words: int = MODEL_WORDS) -> DataFrame:
     """scored() of every text, learning from those outside the held fold."""
     train = F.coalesce(fold_of(id_col, folds) != held, F.lit(False))
     docs = df.select(F.col(id_col), F.col(text_col), train.alias("__train"))
-    trained = learned_counts(docs.where("__train"), text_col, head_words)
+    trained = learned_counts(docs.where("__train"), text_col, head_words, model_words)
     rows = stored(coded(docs, trained.words, id_col, text_col, "__train"), "coded")
     model = baum_welch(rows, trained, "__train", states, rounds)
     return scored(rows, trained, model, id_col, "__train")

@@ -21,10 +21,10 @@ def plain_base(docs, held=1):
     return [(k, len(cut(t)), sum(counts[w] > 0 for w in cut(t)), n, sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in cut(t))) for k, t in docs]
 
 
-@pytest.mark.parametrize("head", [lmscore.HEAD_WORDS, 50])
-def test_base_scores(spark, head):
+@pytest.mark.parametrize(("head", "symbols"), [(lmscore.HEAD_WORDS, 500), (50, 20)])
+def test_base_scores(spark, head, symbols):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    rows = lmscore.language_model_scores(spark.read.parquet(f"{SF}/documents.parquet"), head_words=head, rounds=1).collect()
+    rows = lmscore.language_model_scores(spark.read.parquet(f"{SF}/documents.parquet"), head_words=head, model_words=symbols, rounds=1).collect()
     got = {r.doc_id: r for r in rows}
     for k, n, known, total, base in plain_base(docs):
         r = got[k]
