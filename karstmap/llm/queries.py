@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karstmap.llm import decontaminate, htmltext, langid, linededup, lmscore, media, packing, secrets, toxicity
+from karstmap.llm import decontaminate, htmltext, jaccard, langid, linededup, lmscore, media, packing, secrets, toxicity
 from karstmap.llm.common import fold_of, table
 
 
@@ -56,6 +56,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.verdicts(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identified(docs, langid.samples(langid.learnable(docs)))
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_html_extraction": op6_html_extraction,
         "op7_line_dedup": op7_line_dedup,
         "op8_decontamination": op8_decontamination,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_language_id": op10_language_id,
     }
 
