@@ -123,21 +123,22 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> int:
     return max(1, -(-size // (2 * block_words)))
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """id_col, n_words, spans (array of start and end word), items (array of item ids as text) and, with keep_text, text_col."""
+def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), block_words: int = BLOCK_WORDS) -> DataFrame:
+    """id_col, n_words, spans (array of start and end word), items (array of item ids as text) and the columns to keep."""
     blocks = item_blocks(benchmark, block_words)
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    out = docs.select(id_col, text_col)
+    out = docs.select(*dict.fromkeys((id_col, text_col, *keep)))
     for block in range(blocks):
         rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
         if blocks > 1:
             rows = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         items = [(r["item_id"], words(r["text"].encode())) for r in rows.collect()]  # one bounded block
-        first, text_stays = block == 0, keep_text or block + 1 < blocks
+        first = block == 0
+        stay = keep if block + 1 == blocks else tuple(dict.fromkeys((text_col, *keep)))
         cache: dict[str, ItemAutomaton] = {}
 
-        def run(batch: pa.RecordBatch, items=items, cache=cache, first=first, text_stays=text_stays) -> pa.RecordBatch:
+        def run(batch: pa.RecordBatch, items=items, cache=cache, first=first, stay=stay) -> pa.RecordBatch:
             if not cache:
                 cache["it"] = ItemAutomaton(items, window)
             automaton = cache["it"]
@@ -154,9 +155,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col:
                 spans.append([{"start": a, "end": b} for a, b in hit])
                 names.append(sorted(named))
             columns = [batch.column(id_col), pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(names, pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays([*columns, *([batch.column(text_col)] if text_stays else [])], [id_col, "n_words", "spans", "items", *([text_col] if text_stays else [])])
+            return pa.RecordBatch.from_arrays([*columns, *map(batch.column, stay)], [id_col, "n_words", "spans", "items", *stay])
 
-        schema = f"`{id_col}` {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>" + f", `{text_col}` string" * text_stays
+        schema = f"`{id_col}` {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in stay)
         out = out.mapInArrow(by_batch(run), schema)
     return out
 
@@ -193,7 +194,7 @@ def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int = 20, max_span: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, text_col, contaminated and removed_words: contaminated texts become null, and spans of over max_span words leave the others."""
-    judged = verdicts(find_items(docs, benchmark, window, id_col, text_col, keep_text=True), coverage)
+    judged = verdicts(find_items(docs, benchmark, window, id_col, text_col, keep=(text_col,)), coverage)
     limit = max_span if max_span is not None else 1 << 62
     long = F.filter("spans", lambda s: s["end"] - s["start"] > limit)
     gone = F.aggregate(long, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])

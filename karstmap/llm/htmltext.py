@@ -7,7 +7,7 @@ stay. Then pages are paired: within each host they are ordered by URL path, and
 neighbours by the longest common subsequence of its blocks; blocks that both share are the site's,
 not the page's, and are deleted. Two things stay though shared: paragraphs, headings, list items
 and their like inside an article or main element, as articles repeat passages of each other, and all
-blocks of a pair that is one text (most of it is shared, as in a copy of the page).
+blocks of a pair that is one text (nearly all of it is shared, as in a copy of the page).
 
 Pages are numbered in the order of host, path and id over the whole table, by the counts of range
 partitions, and dealt to groups of ``GROUP`` neighbours that overlap by one. So no host, however
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from karstmap.llm.common import by_batch, slices, stored
 
 GROUP = 64
-SAME_PAGE = 0.5  #: a page that shares more of its text than this with a neighbour is a copy of it
+SAME_PAGE = 0.9  #: a page that shares more of its text than this with a neighbour is a copy of it
 MAX_CELLS = 4_000_000  #: of an alignment's table; beyond it the pair is aligned within unique blocks
 
 #: Tags whose whole content is not text of the page.
@@ -46,6 +46,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Words in a class, id or role that mark what is not the article.
 MARKS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies consent footer header masthead menu modal nav navbar navigation newsletter notice pagination popup promo related search share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary".split())
 WORD = re.compile(r"[a-z]+|\d+")
+CUT = re.compile(r"<[a-zA-Z/!][^<>]*\Z")  # a tag that the page's end cuts
 #: Tags that an opening tag of the same kind closes.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCKS - {"br"} | {"form", "nav", "header", "footer", "aside"}
@@ -116,7 +117,7 @@ class BlockParser(HTMLParser):
 def blocks_of(html: str | None) -> list[tuple[str, bool, bool]]:
     """The page's blocks; if some are in an article or main element, only these."""
     parser = BlockParser()
-    parser.feed(html or "")
+    parser.feed(CUT.sub("", html or ""))
     parser.close()
     inside = [b for b in parser.blocks if b[1]]
     return inside or parser.blocks

@@ -131,7 +131,8 @@ def test_automaton_random():
         assert {x for s, e in spans for x in range(s, e)} == hit and {a.ids[k] for k in found} == names
 
 
-def plain_lines(docs, least=40, many=5):
+def plain_kept(docs, least=40, many=5):
+    """Lines before, and the lines that stay, of each document."""
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({i: i + 32 for i in range(65, 91)})
     held = defaultdict(set)
     for name, text in docs:
@@ -142,8 +143,12 @@ def plain_lines(docs, least=40, many=5):
     for name, text in docs:
         lines = (text or "").split("\n")
         kept = [x for x in lines if name is None or len(held.get(key(x), ())) < many or max(held[key(x)]) == name]
-        out.append((name, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
-    return sorted(out, key=str)
+        out.append((name, lines, kept))
+    return out
+
+
+def plain_lines(docs):
+    return sorted(((k, len(a), len(a) - len(b), hashlib.sha256("\n".join(b).encode()).hexdigest()) for k, a, b in plain_kept(docs)), key=str)
 
 
 def test_line_query(spark):
