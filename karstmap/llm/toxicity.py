@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from karstmap.llm.common import by_batch, fold_of
 
-SAMPLE_ROWS, SAMPLE_BYTES, FEATURES = 10_000, 1 << 16, 20_000
+SAMPLE_ROWS, SAMPLE_BYTES, FEATURES = 3000, 1 << 15, 20_000
 LEAST_RATIO, RIDGE, PENALTY, STEPS = 10.0, 1e-3, 1.0, 400
 CACHE_WORDS = 250_000
 WORDS = re.compile(r"[^\W\d_]+")
@@ -97,14 +97,14 @@ def _ratio(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
     return 2 * (term(a, na, p) + term(b, nb, p))
 
 
-def fit(rows: list[list[int]], toxic: np.ndarray, pairs: list[tuple[list[int], list[int]]] = (), penalty: float = PENALTY) -> Classifier:
+def fit(rows: list[list[int] | np.ndarray], toxic: np.ndarray, pairs: list[tuple[list[int], list[int]]] = (), penalty: float = PENALTY) -> Classifier:
     """Gradient descent with momentum on log loss, ridge and the counterfactual penalty."""
     toxic = toxic.astype(float)
     n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
     if not n1 or not n0:
         return Classifier({}, 500.0 if n1 else -500.0)
     lengths = np.array([len(r) for r in rows])
-    owner, flat = np.repeat(np.arange(len(rows)), lengths), np.concatenate([np.asarray(r, np.int64) for r in rows])
+    owner, flat = np.repeat(np.arange(len(rows)), lengths), np.concatenate([np.asarray(r, np.uint32) for r in rows])
     names, at = np.unique(flat, return_inverse=True)
     ones = np.bincount(at, toxic[owner], len(names))
     zeros = np.bincount(at, minlength=len(names)) - ones
@@ -153,15 +153,15 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         pairs = [counterfactuals(t) for t in texts]
         columns = [
             batch.column("label").cast(pa.int32()),
-            pa.array([sorted(text_features(t)) for t in texts], pa.list_(pa.int64())),
+            pa.array([np.array(sorted(text_features(t)), np.uint32).tobytes() for t in texts], pa.binary()),
             pa.array([[a for a, _ in p] for p in pairs], pa.list_(pa.list_(pa.int64()))),
             pa.array([[b for _, b in p] for p in pairs], pa.list_(pa.list_(pa.int64()))),
         ]
         return pa.RecordBatch.from_arrays(columns, ["label", "features", "sentences", "swapped"])
 
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, rows)
-    got = sample.mapInArrow(by_batch(run), "label int, features array<long>, sentences array<array<long>>, swapped array<array<long>>").toArrow()
-    features = [np.asarray(x.values) for x in got.column("features")] if len(got) else []
+    got = sample.mapInArrow(by_batch(run), "label int, features binary, sentences array<array<long>>, swapped array<array<long>>").toArrow()
+    features = [np.frombuffer(x, np.uint32) for x in got.column("features").to_pylist()]
     pairs = [p for a, b in zip(got.column("sentences").to_pylist(), got.column("swapped").to_pylist(), strict=True) for p in zip(a, b, strict=True)]
     return fit(features, np.asarray(got.column("label"), np.int64) if len(got) else np.zeros(0), pairs, penalty)
 
