@@ -9,9 +9,10 @@ not the page's, and are deleted. Two things stay though shared: paragraphs, head
 and their like inside an article or main element, as articles repeat passages of each other, and all
 blocks of a pair that is one text (nearly all of it is shared, as in a copy of the page).
 
-Pages are numbered in the order of host, path and id over the whole table, by the counts of range
-partitions, and dealt to groups of ``GROUP`` neighbours that overlap by one. So no host, however
-large, makes a task large, and the pairs don't depend on the partitions. Only block text is shuffled.
+The order of host, path and id is cut into ranges at keys drawn by a hash; the first and last page of
+each range are known from the keys alone and are sent to the range beside theirs as well. Each
+range streams through one task in order, which holds three pages at a time. So no host, however large, makes a
+task large, the pairs don't depend on the ranges, and only block text is shuffled, once.
 
 Defined results: null and empty html give an empty text; a page without neighbours on its host keeps
 what its structure tells; pages with equal URLs are neighbours by id; repeated rows give repeated
@@ -21,18 +22,19 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karstmap.llm.common import by_batch, slices, stored
+from karstmap.llm.common import by_batch, slices
 
-GROUP = 64
+RANGE_PAGES, MAX_RANGES = 1000, 20_000
+KEY = ("host", "path", "has", "id")
 SAME_PAGE = 0.9  #: a page that shares more of its text than this with a neighbour is a copy of it
 MAX_CELLS = 4_000_000  #: of an alignment's table; beyond it the pair is aligned within unique blocks
 
@@ -175,65 +177,80 @@ def url_key(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP) -> DataFrame:
+def split_keys(keys: DataFrame, ranges: int) -> list[tuple]:
+    """At most ranges - 1 keys, in order, that begin a range; drawn by their hash."""
+    return sorted({tuple(r) for r in keys.orderBy(F.xxhash64(*KEY), *KEY).limit(ranges - 1).collect()}) if ranges > 1 else []
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", range_pages: int = RANGE_PAGES) -> DataFrame:
     """id_col, url_col, text and n_chars of each page."""
-    kinds = f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, `{url_col}` string"
+    kind = pages.schema[id_col].dataType.simpleString()
+    missing = "" if kind == "string" else 0
+    spark = pages.sparkSession
+
+    def keys_of(batch: pa.RecordBatch) -> list[tuple]:
+        ids = batch.column(id_col).to_pylist()
+        return [(*url_key(u), i is not None, missing if i is None else i) for u, i in zip(batch.column(url_col).to_pylist(), ids, strict=True)]
+
+    key_types = [pa.string(), pa.string(), pa.bool_(), pages.select(F.coalesce(id_col, F.lit(missing).cast(kind)).alias("id")).limit(0).toArrow().schema.field("id").type]
+    key_schema = f"host string, path string, has boolean, id {kind}"
+
+    def columns_of(keys: list[tuple]) -> list[pa.Array]:
+        return [pa.array([k[i] for k in keys], t) for i, t in enumerate(key_types)]
+
+    def locate(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = keys_of(batch)
+        return pa.RecordBatch.from_arrays([*columns_of(keys), pa.array([bisect_right(splits, k) for k in keys], pa.int32())], [*KEY, "part"])
+
+    splits: list[tuple] = []
+    urls = pages.select(id_col, url_col)
+    ranges = max(1, min(MAX_RANGES, pages.count() // range_pages))
+    drawn = split_keys(urls.mapInArrow(by_batch(locate), f"{key_schema}, part int").select(*KEY), ranges)
+    splits = drawn
+    ends = F.min(F.struct(*KEY)).alias("first"), F.max(F.struct(*KEY)).alias("last")
+    found = sorted((r["part"], tuple(r["first"]), tuple(r["last"])) for r in urls.mapInArrow(by_batch(locate), f"{key_schema}, part int").groupBy("part").agg(*ends).collect())  # one row a range
+    beside: dict[tuple, list[int]] = {}
+    for (a, _, last), (b, first, _) in zip(found, found[1:], strict=False):
+        beside.setdefault(last, []).append(b)
+        beside.setdefault(first, []).append(a)
+    shared = spark.sparkContext.broadcast((drawn, beside))
+
+    def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
+        starts, near = shared.value
+        keys = keys_of(batch)
+        own = [blocks_of(h) for h in batch.column(html_col).to_pylist()]
+        rows = [(i, part, g > 0) for i, k in enumerate(keys) for g, part in enumerate((bisect_right(starts, k), *near.get(k, ())))]
+        at = pa.array([i for i, _, _ in rows], pa.int64())
+        columns = [batch.column(id_col).take(at), batch.column(url_col).take(at), *(c.take(at) for c in columns_of(keys)), pa.array([p for _, p, _ in rows], pa.int32()), pa.array([g for _, _, g in rows], pa.bool_())]
+        columns += [pa.array([[x[0] for x in own[i]] for i, _, _ in rows], pa.list_(pa.string())), pa.array([[x[2] for x in own[i]] for i, _, _ in rows], pa.list_(pa.bool_()))]
+        return pa.RecordBatch.from_arrays(columns, ["__id", "__url", *KEY, "part", "ghost", "blocks", "fixed"])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: dict | None = None
+        page: dict | None = None
+        out: list[tuple] = []
+
+        def close(after: dict | None) -> None:
+            if page is not None and not page["ghost"]:
+                near = [x["blocks"] for x in (before, after) if x is not None and x["part"] == page["part"] and x["host"] == page["host"] != ""]
+                text = " ".join(differenced(page["blocks"], page["fixed"], near))
+                out.append((page["__id"], page["__url"], text, len(text)))
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((key_types[3], pa.string(), pa.string(), pa.int64()))], [id_col, url_col, "text", "n_chars"])
+            out.clear()
+            return made
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
         for batch in slices(batches):
-            found = [blocks_of(h) for h in batch.column(html_col).to_pylist()]
-            keys = [url_key(u) for u in batch.column(url_col).to_pylist()]
-            columns = [batch.column(id_col), batch.column(url_col), pa.array(range(row, row + batch.num_rows), pa.int64()), pa.array([h for h, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.string())]
-            columns += [pa.array([[x[0] for x in f] for f in found], pa.list_(pa.string())), pa.array([[x[2] for x in f] for f in found], pa.list_(pa.bool_()))]
-            row += batch.num_rows
-            yield pa.RecordBatch.from_arrays(columns, [id_col, url_col, "row", "host", "path", "blocks", "fixed"])
-
-    parsed = stored(pages.select(id_col, url_col, html_col).mapInArrow(parse, f"{kinds}, row long, host string, path string, blocks array<string>, fixed array<boolean>"), "blocks")
-    placed = numbered(parsed.select("row", "host", "path", F.col(id_col).alias("id")))
-    own = parsed.join(placed, "row")
-    # a group is its own pages and the last page before and the first one after them
-    at = F.col("place")
-    groups = F.filter(F.array(F.floor(at / group), F.floor((at - 1) / group), F.floor((at + 1) / group)), lambda g: g >= 0)
-    dealt = own.withColumn("group", F.explode(F.array_distinct(groups))).drop("row", "path")
-
-    def pair(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
-        places, hosts, groups = (table.column(c).to_pylist() for c in ("place", "host", "group"))
-        blocks, fixed = table.column("blocks").to_pylist(), table.column("fixed").to_pylist()
-        kept, texts = [], []
-        for i, place in enumerate(places):
-            if place // group == groups[i]:
-                near = [blocks[j] for j in (i - 1, i + 1) if 0 <= j < len(places) and hosts[j] == hosts[i] and hosts[i]]
-                kept.append(i)
-                texts.append(" ".join(differenced(blocks[i], fixed[i], near)))
-        out = table.select([id_col, url_col]).take(pa.array(kept, pa.int64()))
-        return out.append_column("text", pa.array(texts, pa.string())).append_column("n_chars", pa.array(list(map(len, texts)), pa.int64()))
-
-    return dealt.groupBy("group").applyInArrow(pair, f"{kinds}, text string, n_chars long")
-
-
-def numbered(keys: DataFrame) -> DataFrame:
-    """row and place: its number in the order of host, path, id and row over the whole table."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64())], ["row", "part", "own"])
-            at += n
-
-    parts = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = [F.col(c).asc_nulls_first() for c in ("host", "path", "id", "row")]
-    ranged = keys.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    placed = stored(ranged.select("row").mapInArrow(local, "row long, part int, own long"), "places")
-    counts = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row a partition
-    first, starts = 0, {}
-    for part in sorted(counts):
-        starts[part], first = first, first + counts[part]
-
-    def shift(batch: pa.RecordBatch) -> pa.RecordBatch:
-        place = [starts[p] + k for p, k in zip(batch.column("part").to_pylist(), batch.column("own").to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(place, pa.int64())], ["row", "place"])
-
-    return placed.mapInArrow(by_batch(shift), "row long, place long")
+            for row in batch.to_pylist():
+                close(row)
+                before, page = page, row
+            if out:
+                yield flush()
+        close(None)
+        if out:
+            yield flush()
+
+    parsed = pages.select(id_col, url_col, html_col).mapInArrow(by_batch(parse), f"__id {kind}, __url string, {key_schema}, part int, ghost boolean, blocks array<string>, fixed array<boolean>")
+    ordered = parsed.repartition(ranges, "part").sortWithinPartitions("part", *KEY, "blocks")
+    return ordered.mapInArrow(pair, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")

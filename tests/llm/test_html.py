@@ -49,8 +49,8 @@ def test_differencing(spark):
     rows = [(i, f"http://www.a.org/x/{i}.html", site(f"own text {i}")) for i in range(9)] + [(20, "https://b.org/1", site("alone")), (21, None, site("no url")), (22, "http://[bad", None)]
     rows += [(30, "http://c.org/p", site("same " * 40)), (31, "http://c.org/p?x", site("same " * 40)), (31, "http://c.org/p?x", site("same " * 40))]
     df = spark.createDataFrame([(a, b, c, 1) for a, b, c in rows], "page_id long, url string, html string, row int")
-    for group in (64, 2):
-        got = htmltext.main_text(df, group=group).collect()
+    for size in (1000, 3, 1):
+        got = htmltext.main_text(df, range_pages=size).collect()
         by = {r.page_id: r.text for r in got}
         assert len(got) == len(rows) and all(by[i] == f"own text {i}" for i in range(9))
         assert by[20] == "Home of all alone All rights" and by[22] == "" and by[21].startswith("Home")
