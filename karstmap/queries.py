@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -520,7 +519,7 @@ def _streamed(spark: SparkSession, sf: str, plan: Callable[[DataFrame], DataFram
     """What a stream over the events table has written when it has read all; a sink keeps the last batch of complete results."""
     path = _scratch(spark)
     events = table(spark, sf, "events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet" if not sf.startswith("/") or not os.path.isfile(f"{sf}/events.parquet") else f"{sf}/events.parquet*")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*")  # a file or a folder
     out = plan(stream)
     write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
     out.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
