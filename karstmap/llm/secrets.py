@@ -93,7 +93,9 @@ def random_samples(spark: SparkSession, rows: int = RANDOM_ROWS) -> DataFrame:
 
 def ordinary_samples(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = SAMPLE_DOCS) -> DataFrame:
     """Labelled ordinary words and identifiers: those of at most docs texts, in the order of a hash of their ids, outside all fixed patterns."""
-    few = df.where(F.octet_length(text_col) <= SAMPLE_BYTES).select(id_col, text_col).orderBy(F.xxhash64(id_col), id_col).limit(docs)
+    ids = df.where(F.octet_length(text_col) <= SAMPLE_BYTES).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(docs).select(F.col(id_col).alias("sample_id")).distinct()
+    texts = df.where(F.octet_length(text_col) <= SAMPLE_BYTES).select(id_col, text_col)
+    few = texts.join(F.broadcast(ids), texts[id_col].eqNullSafe(ids["sample_id"])).dropDuplicates([id_col])  # at most docs ids; only their texts move
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text_col, ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = F.regexp_extract_all(bare, F.lit(r"[A-Za-z][A-Za-z_-]+"), F.lit(0))
     return few.select(F.explode(words).alias("text"), F.lit(0).alias("label"))
