@@ -5,15 +5,17 @@
    where at least the threshold's share of its shingles is shared, so all others are done.
 3. The rest are partitioned into groups of similar classes: classes with a smallest hash in common,
    for several hash orders, in blocks of at most about ``GROUP``; within a block, links are found exactly, and
-   linked classes are joined into components, cut into groups of about ``GROUP`` classes.
-4. The token-group matrix, shingle by group, is the union of each group's shingles. Joined with
-   the shingles of the classes it bounds each class's overlap with each group of another component;
-   of two components the smaller one's classes ask the larger one's groups.
-5. Only groups whose bound reaches the threshold are opened, and their classes compared exactly.
+   linked classes are joined into components. Large components are cut into groups of about ``GROUP``
+   classes; classes of small ones are grouped with those that they share a smallest hash with.
+4. The token-group matrix, shingle by group, says which groups hold a shingle. Classes ask the groups with
+   which they share one of their rarest shingles: classes of small components any group, of two
+   large components the smaller one's classes the larger one's groups.
+5. A class's overlap with the union of a group's shingles bounds its overlap with each of its classes; only
+   groups whose bound reaches the threshold are opened, and their classes compared exactly.
 6. Components of all links give each document the smallest id that it reaches.
 
-No pair is lost: a class that links to a class of a group has at least its threshold's share of
-shingles in the group's union. No step emits all pairs of a group: similar classes meet in blocks of
+No pair is lost: by the prefix rule two classes that link share one of their rarest shingles, and a class
+that links to a class of a group has at least its threshold's share of shingles in the group's union. No step emits all pairs of a group: similar classes meet in blocks of
 bounded size that return a link for each class, and components meet others by their bound.
 
 Defined results: null and wordless texts have no shingles and link with nothing; a text of fewer
@@ -36,9 +38,9 @@ from pyspark.sql import functions as F
 from karstmap.llm.common import slices, stored, text_bytes
 
 WORDS, PERCENT = 5, 75
-GROUP, ORDERS, SLICE = 256, 3, 1000
-SHARD_BYTES, SHARD_TOKENS, BUCKET_ROWS = 12_000_000, 2_000_000, 2000
-BROADCAST_ROWS, CELLS = 200_000, 2_000_000
+GROUP, SMALL, ORDERS, SLICE = 256, 64, 3, 1000
+SHARD_BYTES, SHARD_TOKENS, BUCKET_ROWS = 6_000_000, 400_000, 1000
+PART_BYTES, BROADCAST_ROWS, CELLS, SKETCH_BITS = 20_000_000, 200_000, 500_000, 20
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -94,9 +96,9 @@ def posted(sets: list[np.ndarray], owners: dict[str, np.ndarray], shards: int) -
         return
     tokens = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
-    shard = (tokens % np.uint64(shards)).astype(np.int32)
+    shard, short = shard_of(tokens, shards)
     order = np.argsort(shard, kind="stable")
-    short, owner, shard = ((tokens // np.uint64(shards)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], owner[order], shard[order]
+    short, owner, shard = short[order], owner[order], shard[order]
     starts = np.flatnonzero(np.diff(shard, prepend=-1))
     rows = []
     for a, b in zip(starts, [*starts[1:], len(shard)], strict=True):
@@ -113,9 +115,32 @@ def gathered(group: pa.Table, names: list[str]) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(parts[0]), np.concatenate(parts[1]) + shift, [np.concatenate(x) for x in parts[2:]]
 
 
+LOW = np.uint64(0xFFFFFFFF)
+
+
+def joint(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Two numbers of 32 bits as one of 64."""
+    return high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
+
+
+def met_again(ordered: np.ndarray) -> np.ndarray:
+    """Places of an ordered array whose value stands beside them too."""
+    again = ordered[1:] == ordered[:-1]
+    return np.concatenate([again, [False]]) | np.concatenate([[False], again]) if len(ordered) else np.zeros(0, bool)
+
+
+def repeated(tokens: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that occur more than once, in order, and their owners."""
+    order = np.argsort(tokens)
+    tokens = tokens[order]
+    several = met_again(tokens)
+    return tokens[several], owner[order[several]]
+
+
 def shared_counts(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """cls and shared: how many shingles of the class another class has too."""
-    shards = max(1, -(-text_bytes(df, text_col) // SHARD_BYTES))
+    """cls and shared: how many shingles of the class another class has too; shards send their counts in arrays, by ranges of classes."""
+    size = text_bytes(df, text_col)
+    shards, parts = max(1, -(-size // SHARD_BYTES)), max(1, -(-size // PART_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE):
@@ -124,23 +149,23 @@ def shared_counts(df: DataFrame, id_col: str, text_col: str, words: int) -> Data
 
     def count(group: pa.Table) -> pa.Table:
         tokens, owner, (cls,) = gathered(group, ["cls"])
-        order = np.argsort(tokens)
-        tokens, cls = tokens[order], cls[owner[order]]
-        again = tokens[1:] == tokens[:-1]
-        met = np.concatenate([again, [False]]) | np.concatenate([[False], again])
-        tokens, cls = tokens[met], cls[met]
-        pairs = np.unique(np.rec.fromarrays([tokens, cls], names="t,c"))
-        again = pairs["t"][1:] == pairs["t"][:-1]
-        names, n = np.unique(pairs["c"][np.concatenate([again, [False]]) | np.concatenate([[False], again])], return_counts=True) if len(pairs) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pa.table({"cls": pa.array(names, pa.int64()), "shared": pa.array(n, pa.int64())})
+        tokens, owner = repeated(tokens, owner)
+        names, own = np.unique(cls[owner], return_inverse=True)
+        pairs = np.unique(joint(tokens, own))
+        n = np.bincount((pairs & LOW)[met_again(pairs >> np.uint64(32))].astype(np.int64), minlength=len(names))
+        names, n = names[n > 0], n[n > 0]
+        part = (names.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        rows = [(p, names[part == p].tobytes(), n[part == p].tobytes()) for p in np.unique(part).tolist()]
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "cls": pa.array([r[1] for r in rows], pa.binary()), "shared": pa.array([r[2] for r in rows], pa.binary())})
+
+    def add(group: pa.Table) -> pa.Table:
+        cls, n = (np.concatenate([np.frombuffer(x, np.int64) for x in group.column(c).to_pylist()]) for c in ("cls", "shared"))
+        names, at = np.unique(cls, return_inverse=True)
+        return pa.table({"cls": pa.array(names, pa.int64()), "shared": pa.array(np.bincount(at, n).astype(np.int64), pa.int64())})
 
     sent = df.where(F.col(id_col).isNotNull()).select(text_col).mapInArrow(send, "shard int, tokens binary, owner binary, cls binary")
-    return sent.groupBy("shard").applyInArrow(count, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
-
-
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+    counted = sent.groupBy("shard").applyInArrow(count, "part long, cls binary, shared binary")
+    return counted.groupBy("part").applyInArrow(add, "cls long, shared long")
 
 
 def overlaps(query: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -167,10 +192,14 @@ def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def sent_whole(df: DataFrame) -> DataFrame:
+    """df to be broadcast where it has at most BROADCAST_ROWS rows (of a few numbers each); else a join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def candidates(df: DataFrame, reps: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """cls, n, keys (the class's smallest hash in each order) and tokens (binary) of the classes in reps (rep, want)."""
-    small = reps.count() <= BROADCAST_ROWS
-    docs = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(F.broadcast(reps) if small else reps, "rep")
+    docs = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(sent_whole(reps), "rep")
     seeds = list(np.arange(ORDERS, dtype=np.uint64) * MULTIPLIER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +231,7 @@ def links_in_blocks(sets: DataFrame, percent: int) -> DataFrame:
         found = [(cls[own[x]], cls[own[y]]) for own in held.values() for x, y in block_links([tokens[i] for i in own], percent)]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    rows = blocks.join(sets.select("cls", "tokens"), "cls").withColumn("bucket", F.pmod("block", F.lit(buckets)))
+    rows = sets.select("cls", "tokens").join(sent_whole(blocks), "cls").withColumn("bucket", F.pmod("block", F.lit(buckets)))
     return rows.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -223,81 +252,162 @@ def components(edges: DataFrame) -> DataFrame:
         here = stored(small.distinct(), "edges")
 
 
+def shard_of(tokens: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's shard and the 32 bits that stand for it there."""
+    return (tokens % np.uint64(shards)).astype(np.int32), ((tokens // np.uint64(shards)) & LOW).astype(np.uint32)
+
+
+def sketch_cells(shard: np.ndarray, short: np.ndarray) -> np.ndarray:
+    return (mixed(joint(shard, short)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def common_levels(sets: DataFrame, groups: DataFrame, shards: int) -> np.ndarray:
+    """A sketch of fixed size: how many groups share a token, as a power of two; tokens of one cell count as the commonest of them."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, SLICE):
+            yield from posted([np.frombuffer(x, np.uint64) for x in batch.column("tokens").to_pylist()], {"gid": np.asarray(batch.column("gid"), np.int64)}, shards)
+
+    def count(group: pa.Table) -> pa.Table:
+        tokens, owner, (gid,) = gathered(group, ["gid"])
+        tokens, owner = repeated(tokens, owner)
+        short, n = np.unique(np.unique(joint(tokens, np.unique(gid, return_inverse=True)[1][owner])) >> np.uint64(32), return_counts=True)
+        short, n = short[n >= 4], n[n >= 4]
+        cell = sketch_cells(np.full(len(short), group.column("shard")[0].as_py()), short)
+        level, part = np.log2(n).astype(np.uint8), cell >> (SKETCH_BITS - 6)
+        rows = [(p, cell[part == p].astype(np.int32).tobytes(), level[part == p].tobytes()) for p in np.unique(part).tolist()]
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "cells": pa.array([r[1] for r in rows], pa.binary()), "levels": pa.array([r[2] for r in rows], pa.binary())})
+
+    def top(group: pa.Table) -> pa.Table:
+        part, size = group.column("part")[0].as_py(), 1 << (SKETCH_BITS - 6)
+        out = np.zeros(size, np.uint8)
+        for cells, levels in zip(group.column("cells").to_pylist(), group.column("levels").to_pylist(), strict=True):
+            np.maximum.at(out, np.frombuffer(cells, np.int32) - part * size, np.frombuffer(levels, np.uint8))
+        return pa.table({"part": pa.array([part], pa.int64()), "levels": pa.array([out.tobytes()], pa.binary())})
+
+    sent = sets.select("cls", "tokens").join(sent_whole(groups.select("cls", "gid")), "cls").mapInArrow(send, "shard int, tokens binary, owner binary, gid binary")
+    counted = sent.groupBy("shard").applyInArrow(count, "part long, cells binary, levels binary")
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for row in counted.groupBy("part").applyInArrow(top, "part long, levels binary").collect():  # 64 parts of the sketch
+        out[row["part"] << (SKETCH_BITS - 6) :][: 1 << (SKETCH_BITS - 6)] = np.frombuffer(row["levels"], np.uint8)
+    return out
+
+
 def questions(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """cls and gid of the classes whose overlap with a group of a larger component reaches their threshold."""
+    """cls and gid of the classes and the groups that they ask: they share a token that is among the rarest of both.
+
+    Tokens are ordered by how common the sketch says that they are, then by hash. Two sets that link share one
+    of their first n - ceil(n * percent / 100) + 1 tokens in any order that all sets keep to.
+    """
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_TOKENS))
-    names = ["cls", "n", "label", "size", "gid"]
+    levels = sets.sparkSession.sparkContext.broadcast(common_levels(sets, groups, shards))
+    names = ["cls", "label", "size", "gid"]
+
+    def rarest(tokens: np.ndarray) -> np.ndarray:
+        keep = len(tokens) - -(-len(tokens) * percent // 100) + 1
+        level = levels.value[sketch_cells(*shard_of(tokens, shards))]
+        return tokens[np.lexsort((tokens, level))[:keep]]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE):
-            yield from posted([np.frombuffer(x, np.uint64) for x in batch.column("tokens").to_pylist()], {c: np.asarray(batch.column(c), np.int64) for c in names}, shards)
+            yield from posted([rarest(np.frombuffer(x, np.uint64)) for x in batch.column("tokens").to_pylist()], {c: np.asarray(batch.column(c), np.int64) for c in names}, shards)
 
-    def bound(group: pa.Table) -> pa.Table:
-        tokens, owner, (cls, n, label, size, gid) = gathered(group, names)
-        order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
+    def meet(group: pa.Table) -> pa.Table:
+        tokens, owner, (cls, label, size, gid) = gathered(group, names)
+        tokens, owner = repeated(tokens, owner)
+        classes, c_of = np.unique(cls, return_inverse=True)
+        matrix, g_first, g_of = np.unique(gid, return_index=True, return_inverse=True)
         # the matrix: each token's groups, once
-        cells = np.unique(np.rec.fromarrays([tokens, gid[owner], label[owner], size[owner]], names="t,g,l,s"))
-        starts, ends = np.searchsorted(cells["t"], tokens, "left"), np.searchsorted(cells["t"], tokens, "right")
-        several = ends - starts > 1
-        owner, starts, count = owner[several], starts[several], (ends - starts)[several]
-        steps = np.searchsorted(np.cumsum(count), np.arange(0, count.sum() + CELLS, CELLS), "left")
-        found: dict[tuple[int, int], int] = {}
-        for a, b in zip(steps[:-1], [*steps[1:-1], len(count)], strict=True):
+        cells = np.unique(joint(tokens, g_of[owner]))
+        cell_token, cell_group = cells >> np.uint64(32), (cells & LOW).astype(np.int64)
+        low = np.searchsorted(cell_token, tokens, "left")
+        count = np.searchsorted(cell_token, tokens, "right") - low
+        ends = np.cumsum(count)
+        steps = np.unique(np.searchsorted(ends, np.arange(0, (ends[-1] if len(ends) else 0) + CELLS, CELLS), "left"))
+        found = np.zeros(0, np.uint64)
+        for a, b in zip([0, *steps], [*steps, len(count)], strict=True):
+            if a == b:
+                continue
             who = np.repeat(owner[a:b], count[a:b])
-            cell = np.repeat(starts[a:b], count[a:b]) + np.arange(len(who)) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b])
-            s, other = size[who], cells["s"][cell]
-            asks = (label[who] != cells["l"][cell]) & ((s < other) | (s == other) & (label[who] < cells["l"][cell]))
-            pairs, k = np.unique(np.rec.fromarrays([cls[who[asks]], cells["g"][cell[asks]]], names="c,g"), return_counts=True)
-            for c, g, x in zip(pairs["c"].tolist(), pairs["g"].tolist(), k.tolist(), strict=True):
-                found[c, g] = found.get((c, g), 0) + x
-        sizes = dict(zip(cls.tolist(), n.tolist(), strict=True))
-        return pa.table({"cls": pa.array([c for c, _ in found], pa.int64()), "gid": pa.array([g for _, g in found], pa.int64()), "n": pa.array([sizes[c] for c, _ in found], pa.int64()), "k": pa.array(list(found.values()), pa.int64())})
-
-    rows = sets.select("cls", "n", "tokens").join(groups, "cls")
+            place = np.repeat(low[a:b] - (ends[a:b] - count[a:b]), count[a:b]) + np.arange(ends[a] - count[a], ends[b - 1])
+            other = g_first[cell_group[place]]
+            larger = (size[who] < size[other]) | (size[who] == size[other]) & (label[who] < label[other])
+            asks = np.where(size[other] > SMALL, (label[who] != label[other]) & larger, size[who] <= SMALL)
+            found = np.union1d(found, joint(c_of[who[asks]], g_of[other[asks]]))
+        asking, asked = (found >> np.uint64(32)).astype(np.int64), (found & LOW).astype(np.int64)
+        return pa.table({"cls": pa.array(classes[asking], pa.int64()), "gid": pa.array(matrix[asked], pa.int64())})
+
+    rows = sets.select("cls", "tokens").join(sent_whole(groups), "cls")
     sent = rows.mapInArrow(send, "shard int, tokens binary, owner binary, " + ", ".join(f"{c} binary" for c in names))
-    counts = sent.groupBy("shard").applyInArrow(bound, "cls long, gid long, n long, k long")
-    return counts.groupBy("cls", "gid").agg(F.sum("k").alias("k"), F.first("n").alias("n")).where(F.col("k") * 100 >= F.col("n") * percent).select("cls", "gid")
+    return sent.groupBy("shard").applyInArrow(meet, "cls long, gid long").distinct()
 
 
 def opened(sets: DataFrame, groups: DataFrame, asked: DataFrame, percent: int) -> DataFrame:
-    """a and b: a link of each asking class with a class of each opened group, where there is one."""
-    own = sets.select("cls", "tokens")
-    members = groups.join(asked.select("gid").distinct(), "gid", "left_semi").join(own, "cls").select("gid", "cls", "tokens", F.lit(False).alias("asks"))
-    queries = asked.join(own, "cls").select("gid", "cls", "tokens", F.lit(True).alias("asks"))
-    buckets = int(1 + asked.count() // BUCKET_ROWS)
+    """a and b: a link of each asking class with each other component in each opened group, where there is one."""
+    wanted = groups.join(asked.select("gid").distinct(), "gid", "left_semi").select("cls", "gid", "label", F.lit(False).alias("asks"))
+    # a class that asks its own group is there already, so only its name goes along
+    asking = stored(asked.join(groups.select("cls", "label", F.col("gid").alias("home")), "cls").select("cls", "gid", "label", (F.col("gid") == F.col("home")).alias("home")), "asking")
+    sent = stored(wanted.union(asking.where("not home").select("cls", "gid", "label", F.lit(True))), "sent")
+    rows = sets.select("cls", "tokens").join(sent_whole(sent), "cls").select("gid", "cls", "label", "tokens", "asks")
+    rows = rows.union(asking.where("home").select("gid", "cls", "label", F.lit(None).cast("binary"), F.lit(True)))
+    buckets = int(1 + sent.count() // BUCKET_ROWS)
 
     def run(group: pa.Table) -> pa.Table:
         held: dict[int, tuple[list[int], list[int]]] = {}
-        cls, tokens = group.column("cls").to_pylist(), [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
+        cls, label = group.column("cls").to_pylist(), np.asarray(group.column("label"))
+        tokens = [np.frombuffer(x, np.uint64) if x is not None else None for x in group.column("tokens").to_pylist()]
         for i, (g, asks) in enumerate(zip(group.column("gid").to_pylist(), group.column("asks").to_pylist(), strict=True)):
             held.setdefault(g, ([], []))[asks].append(i)
+        for inside, asking_ in held.values():
+            there = {cls[i]: tokens[i] for i in inside}
+            for q in asking_:
+                tokens[q] = there[cls[q]] if tokens[q] is None else tokens[q]
         found = []
         for inside, asking in held.values():
-            sizes = np.array([len(tokens[i]) for i in inside])
+            sizes, labels = np.array([len(tokens[i]) for i in inside]), label[inside]
             flat, starts = np.concatenate([tokens[i] for i in inside]), np.cumsum(sizes) - sizes
+            union = np.unique(flat)
             for q in asking:
+                if 100 * len(np.intersect1d(tokens[q], union, assume_unique=True)) < percent * len(tokens[q]):
+                    continue  # the bound: no set of the group can link
                 both = overlaps(tokens[q], flat, starts)
-                hit = np.flatnonzero(100 * both >= percent * (len(tokens[q]) + sizes - both))
-                if len(hit):
-                    found.append((cls[q], cls[inside[hit[0]]]))
+                hit = np.flatnonzero((100 * both >= percent * (len(tokens[q]) + sizes - both)) & (labels != label[q]))
+                found += [(cls[q], cls[inside[hit[k]]]) for k in np.unique(labels[hit], return_index=True)[1]]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    rows = members.union(queries).withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(buckets)))
     return rows.groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
+def neighbourhoods(sets: DataFrame) -> DataFrame:
+    """cls and near: the smallest class within two steps over shared smallest hashes."""
+    keys = sets.select("cls", F.posexplode("keys").alias("k", "key"))
+    near = sets.select("cls", F.col("cls").alias("near"))
+    for _ in range(2):
+        least = keys.join(near, "cls").groupBy("k", "key").agg(F.min("near").alias("near"))
+        near = keys.join(least, ["k", "key"]).groupBy("cls").agg(F.min("near").alias("near"))
+    return near
+
+
+def matrix_groups(sets: DataFrame, near: DataFrame) -> DataFrame:
+    """cls, label and size (of its component) and gid (its group); a group of small components has the neighbourhood's name."""
+    labels = sets.select("cls").join(components(near), sets["cls"] == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("label"))
+    labels = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
+    home = F.when(F.col("size") > SMALL, F.xxhash64(F.lit("c"), "label")).otherwise(F.xxhash64(F.lit("n"), "near"))
+    homes = stored(labels.join(neighbourhoods(sets), "cls").select("cls", "label", "size", home.alias("home")), "homes")
+    counts = homes.groupBy("home").agg(F.count("*").alias("many"))
+    chunk = F.pmod(F.xxhash64("cls"), F.ceil(F.col("many") / GROUP).cast("long"))
+    return homes.join(counts, "home").select("cls", "label", "size", F.xxhash64("home", chunk).alias("gid"))
+
+
 def class_links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """a and b: links whose components are those of all links between classes (cls, n, rep)."""
     shared = shared_counts(df, id_col, text_col, words)
     reps = stored(classes.join(shared, "cls").where(F.col("shared") * 100 >= F.col("n") * percent).select("rep", F.col("cls").alias("want")), "reps")
     sets = stored(candidates(df, reps, id_col, text_col, words), "sets")
     near = stored(links_in_blocks(sets, percent), "links")
-    labels = sets.select("cls").join(components(near), sets["cls"] == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("label"))
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    chunk = F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / GROUP).cast("long"))
-    groups = stored(labels.join(sizes, "label").select("cls", "label", "size", F.xxhash64("label", chunk).alias("gid")), "groups")
+    groups = stored(matrix_groups(sets, near), "groups")
     asked = stored(questions(sets, groups, percent), "asked")
     return near.union(opened(sets, groups, asked, percent))
 

@@ -65,7 +65,8 @@ def test_join_edges(spark, monkeypatch):
     docs = [(None if a is None else int(a), b) for a, b in docs]
     df = spark.createDataFrame([(a, b, 1, 2) for a, b in docs], "doc_id long, text string, cls int, n int")
     expected = plain(docs)
-    for group, orders, rows in ((256, 3, 2000), (7, 1, 20)):
+    for group, small, orders, rows in ((256, 64, 3, 2000), (7, 3, 1, 20), (7, 1000, 1, 20)):
+        monkeypatch.setattr(jaccard, "SMALL", small)
         monkeypatch.setattr(jaccard, "GROUP", group)
         monkeypatch.setattr(jaccard, "ORDERS", orders)
         monkeypatch.setattr(jaccard, "BROADCAST_ROWS", rows)
