@@ -35,7 +35,9 @@ def samples(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """The distinct words to learn of each language. The rank limit is applied before the shuffle, so a hot language sends docs rows a task."""
     rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col))
     rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES))
-    rows = rows.select(id_col, text_col, lang_col).withColumn("rank", rank).where(F.col("rank") <= docs)
+    few = rows.select(id_col, lang_col).withColumn("rank", rank).where(F.col("rank") <= docs)
+    own = few.groupBy(F.col(id_col).alias("sample_id")).agg(F.min("rank").alias("rank"))  # docs ids of each language
+    rows = rows.join(F.broadcast(own), rows[id_col] == own["sample_id"]).select(id_col, text_col, lang_col, "rank").dropDuplicates([id_col])
     learned: dict[str, dict[str, None]] = {}
     used: dict[str, int] = {}
     for row in sorted(rows.collect(), key=lambda r: (r[lang_col], r["rank"])):
