@@ -37,7 +37,7 @@ from karstmap.llm.common import by_batch, fold_of, slices, stored, utf8
 
 STATES, ROUNDS, SAMPLE_ROUNDS, SAMPLE_DOCS, SAMPLE_BYTES = 4, 2, 25, 300, 1 << 15
 RARE_LEVEL = 2  #: words of under 4 occurrences are always rare, so the rare symbol has the weight that new words need
-HEAD_WORDS, MODEL_WORDS, BLOCK_WORDS, CHUNK, BATCH_TOKENS, FLUSH = 200_000, 32_768, 8_192, 2048, 1_000_000, 400_000
+HEAD_WORDS, MODEL_WORDS, BLOCK_WORDS, CHUNK, BATCH_TOKENS, FLUSH = 200_000, 32_768, 8_192, 2048, 600_000, 250_000
 END, RARE = 0, 1  #: symbols; the head words follow
 PRIOR = 0.05  #: share of the unigram distribution mixed into each state's
 SPREAD = 16
@@ -274,7 +274,8 @@ def baum_welch(rows: DataFrame, trained: Trained, train_col: str = "train", stat
     share[RARE] = trained.rare_total
     unigram = (share + 0.5) / (share + 0.5).sum()
     train = rows.where(F.col(train_col))
-    sample = train.where(F.octet_length("ids") <= SAMPLE_BYTES).orderBy(F.xxhash64("ids"), "row").limit(SAMPLE_DOCS).select("ids").toArrow()
+    few = train.where(F.octet_length("ids") <= SAMPLE_BYTES).select("row").orderBy(F.xxhash64("row"), "row").limit(SAMPLE_DOCS)
+    sample = train.join(F.broadcast(few), "row").select("ids").toArrow()  # at most SAMPLE_DOCS rows
     size = trained.symbols
     model = seeded(pieces([symbols_of(np.frombuffer(x, np.int32), size) for x in sample.column("ids").to_pylist()]), unigram, states)
     blocks = -(-size // BLOCK_WORDS)
