@@ -144,7 +144,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(id_col), id_col))
     few = own.withColumn("rank", rank).where(F.col("rank") <= rows).select(F.col(id_col).alias("sample_id"), "label")
     texts = docs.where(F.octet_length(text_col) <= SAMPLE_BYTES).select(id_col, text_col)
-    return texts.join(F.broadcast(few), texts[id_col] == few["sample_id"]).select(text_col, "label")
+    return texts.join(F.broadcast(few), texts[id_col] == few["sample_id"]).dropDuplicates([id_col]).select(text_col, "label")
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS, penalty: float = PENALTY) -> Classifier:
