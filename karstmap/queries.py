@@ -244,11 +244,15 @@ def pooled_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return dictionary.pooled_histogram(part_rows(spark, sf))
 
 
-@query(
-    "SELECT column_name, kind FROM (VALUES "
-    + ", ".join(f"('{c}', '{k}')" for c, k in [("o_orderkey", "uint32"), ("big", "uint64"), ("char10", "char10"), ("char12", "char12"), ("o_orderpriority", "string")])
-    + ") t(column_name, kind)"
-)
+def number_sql(name: str, value: str) -> str:
+    return f"SELECT '{name}' AS column_name, CASE WHEN max({value}) <= 4294967295 THEN 'uint32' ELSE 'uint64' END AS kind FROM orders"
+
+
+def text_sql(name: str, value: str) -> str:
+    return f"SELECT '{name}', CASE WHEN min(strlen({value})) = max(strlen({value})) AND max(strlen({value})) IN (10, 12) THEN 'char' || max(strlen({value})) ELSE 'string' END FROM orders"
+
+
+@query(" UNION ALL ".join([number_sql("o_orderkey", "o_orderkey"), number_sql("big", "CAST(o_orderkey AS HUGEINT) * 1000000000000"), text_sql("char10", "rpad(o_orderstatus, 10, ' ')"), text_sql("char12", "rpad(o_orderstatus, 12, ' ')"), text_sql("o_orderpriority", "o_orderpriority")]))
 def backend_inference(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
     big = (F.col("o_orderkey").cast("decimal(20,0)") * 10**12).cast("decimal(20,0)")
@@ -509,10 +513,10 @@ def stream_static_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return _streamed(spark, sf, lambda s: stream_lookup(s, customers, "user_id", out="segment").select("event_id", "user_id", F.col("segment").alias("value")))
 
 
-@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type AS symbol, count(*) AS freq FROM events GROUP BY ALL")
+@query("SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS window_start, event_type AS symbol, count(*) AS freq FROM events GROUP BY ALL")
 def stream_window_histogram(spark: SparkSession, sf: str) -> DataFrame:
     own = _streamed(spark, sf, lambda s: windowed_histogram(s.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 day", "36500 days"), "complete")
-    return own.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return own.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
 def _streamed(spark: SparkSession, sf: str, plan: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
