@@ -515,8 +515,9 @@ def stream_static_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS window_start, event_type AS symbol, count(*) AS freq FROM events GROUP BY ALL")
 def stream_window_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    own = _streamed(spark, sf, lambda s: windowed_histogram(s.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 day", "36500 days"), "complete")
-    return own.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+    zone = spark.conf.get("spark.sql.session.timeZone")  # the column has no zone and is taken as UTC in any session
+    own = _streamed(spark, sf, lambda s: windowed_histogram(s.withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone)), "ts", "event_type", "1 day", "36500 days"), "complete")
+    return own.withColumn("window_start", F.date_format(F.to_utc_timestamp("window_start", zone), "yyyy-MM-dd"))
 
 
 def _streamed(spark: SparkSession, sf: str, plan: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
