@@ -113,8 +113,8 @@ class BloomFilter:
             at = 4 * row["word"]
             word = (row["bits"] & 0xFFFFFFFF).to_bytes(4, "little")
             raw[at : at + 4] = word[: len(raw) - at]
-        text = F.lit(raw.hex())
-        byte = lambda p: F.conv(F.substring(text, (F.floor(p / 8) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+        held = F.lit(bytes(raw))
+        byte = lambda p: F.conv(F.hex(F.substring(held, (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
         return F.forall(bloom_places(key, self.size_bits, self.num_hashes), lambda p: F.getbit(byte(p), F.pmod(p, F.lit(8)).cast("int")) == 1)
 
     def stats(self) -> dict:
