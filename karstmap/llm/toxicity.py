@@ -2,7 +2,8 @@
 
 A logistic regression over the words of a text, and the first letters of each, learns from a
 bounded sample of labelled rows: of each label the ``SAMPLE_ROWS`` rows first in the order of a hash
-of their ids, with texts of at most ``SAMPLE_BYTES`` bytes. Features are kept where a likelihood
+of their ids, with texts of at most ``SAMPLE_BYTES`` bytes. Each row stands for as many as its label has for
+each sampled one, in the loss and in the penalty, so the sample leaves the share of toxic texts as it is. Features are kept where a likelihood
 ratio test ties them to the label. For each sentence of the sample with an identity term, the
 sentence with the term swapped for another of its group is a counterfactual, and the fit pays for
 the square of the difference between the two scores. So a group's name alone says nothing, and
@@ -97,8 +98,10 @@ def _ratio(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
     return 2 * (term(a, na, p) + term(b, nb, p))
 
 
-def fit(rows: list[list[int] | np.ndarray], toxic: np.ndarray, pairs: list[tuple[list[int], list[int]]] = (), penalty: float = PENALTY) -> Classifier:
-    """Gradient descent with momentum on log loss, ridge and the counterfactual penalty."""
+def fit(rows: list[list[int] | np.ndarray], toxic: np.ndarray, pairs: list[tuple[list[int], list[int]]] = (), penalty: float = PENALTY, stands: np.ndarray | None = None, pair_stands: np.ndarray | None = None) -> Classifier:
+    """Gradient descent with momentum on log loss, ridge and the counterfactual penalty; stands: how many rows each row, or each pair, stands for."""
+    part = np.full(len(rows), 1 / max(1, len(rows))) if stands is None else stands / stands.sum()
+    p_part = np.ones(len(pairs)) if pair_stands is None else np.asarray(pair_stands, float)
     toxic = toxic.astype(float)
     n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
     if not n1 or not n0:
@@ -117,21 +120,23 @@ def fit(rows: list[list[int] | np.ndarray], toxic: np.ndarray, pairs: list[tuple
     owner, at = owner[inside], place[at][inside]
     index = {int(names[k]): i for i, k in enumerate(kept)}
     coded = [([index[f] for f in a if f in index], [index[f] for f in b if f in index]) for a, b in pairs]
+    p_part = p_part[[a != b for a, b in coded]] if coded else p_part
     coded = [p for p in coded if p[0] != p[1]]
+    p_part = p_part / p_part.sum()
     p_owner = np.repeat(np.arange(len(coded)), [len(a) + len(b) for a, b in coded]).astype(int)
     p_at = np.array([f for a, b in coded for f in (*a, *b)], int)
     p_sign = np.array([s for a, b in coded for s in (*[1.0] * len(a), *[-1.0] * len(b))])
-    weight, bias = np.zeros(len(kept)), float(np.log(n1 / n0))
+    weight, bias = np.zeros(len(kept)), float(np.log(part @ toxic / (part @ (1 - toxic))))
     speed, bias_speed = np.zeros(len(kept)), 0.0
     step = 4.0 / max(1.0, np.bincount(owner, minlength=1).max(initial=1) ** 0.5)
-    mass = np.maximum(np.bincount(at, minlength=len(kept)) / len(rows), 1e-3)  # a rare feature's weight moves as fast as a common one's
+    mass = np.maximum(np.bincount(at, part[owner], len(kept)), 1e-3)  # a rare feature's weight moves as fast as a common one's
     for _ in range(STEPS):
         z = bias + np.bincount(owner, weight[at], len(rows))
-        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - toxic) / len(rows)
+        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - toxic) * part
         slope = np.bincount(at, error[owner], len(kept)) + RIDGE * mass * weight
         if len(coded):
             change = np.bincount(p_owner, p_sign * weight[p_at], len(coded))
-            slope = slope + 2 * penalty * np.bincount(p_at, p_sign * change[p_owner], len(kept)) / len(coded) * mass
+            slope = slope + 2 * penalty * np.bincount(p_at, p_sign * (p_part * change)[p_owner], len(kept)) * mass
         speed = 0.9 * speed - step * 0.1 * slope / mass
         bias_speed = 0.9 * bias_speed - step * 0.1 * error.sum()
         weight, bias = weight + speed, bias + bias_speed
@@ -139,12 +144,13 @@ def fit(rows: list[list[int] | np.ndarray], toxic: np.ndarray, pairs: list[tuple
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """text_col and label of at most rows documents of each label; the sample of labels is small by its limit, so it goes to the documents."""
+    """text_col, label and stands (the label's ids for each sampled one) of at most rows documents of each label; the sample of labels is small by its limit, so it goes to the documents."""
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("label"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(id_col), id_col))
-    few = own.withColumn("rank", rank).where(F.col("rank") <= rows).select(F.col(id_col).alias("sample_id"), "label")
+    stands = F.greatest(F.col("n") / F.lit(rows), F.lit(1.0)).alias("stands")
+    few = own.withColumn("rank", rank).where(F.col("rank") <= rows).join(F.broadcast(own.groupBy("label").agg(F.count("*").alias("n"))), "label").select(F.col(id_col).alias("sample_id"), "label", stands)
     texts = docs.where(F.octet_length(text_col) <= SAMPLE_BYTES).select(id_col, text_col)
-    return texts.join(F.broadcast(few), texts[id_col] == few["sample_id"]).dropDuplicates([id_col]).select(text_col, "label")
+    return texts.join(F.broadcast(few), texts[id_col] == few["sample_id"]).dropDuplicates([id_col]).select(text_col, "label", "stands")
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS, penalty: float = PENALTY) -> Classifier:
@@ -153,17 +159,20 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         pairs = [counterfactuals(t) for t in texts]
         columns = [
             batch.column("label").cast(pa.int32()),
+            batch.column("stands"),
             pa.array([np.array(sorted(text_features(t)), np.uint32).tobytes() for t in texts], pa.binary()),
             pa.array([[a for a, _ in p] for p in pairs], pa.list_(pa.list_(pa.int64()))),
             pa.array([[b for _, b in p] for p in pairs], pa.list_(pa.list_(pa.int64()))),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["label", "features", "sentences", "swapped"])
+        return pa.RecordBatch.from_arrays(columns, ["label", "stands", "features", "sentences", "swapped"])
 
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, rows)
-    got = sample.mapInArrow(by_batch(run), "label int, features binary, sentences array<array<long>>, swapped array<array<long>>").toArrow()
+    got = sample.mapInArrow(by_batch(run), "label int, stands double, features binary, sentences array<array<long>>, swapped array<array<long>>").toArrow()
     features = [np.frombuffer(x, np.uint32) for x in got.column("features").to_pylist()]
-    pairs = [p for a, b in zip(got.column("sentences").to_pylist(), got.column("swapped").to_pylist(), strict=True) for p in zip(a, b, strict=True)]
-    return fit(features, np.asarray(got.column("label"), np.int64) if len(got) else np.zeros(0), pairs, penalty)
+    both = [list(zip(a, b, strict=True)) for a, b in zip(got.column("sentences").to_pylist(), got.column("swapped").to_pylist(), strict=True)]
+    stands = np.asarray(got.column("stands"), float) if len(got) else np.zeros(0)
+    labels_of = np.asarray(got.column("label"), np.int64) if len(got) else np.zeros(0)
+    return fit(features, labels_of, [p for x in both for p in x], penalty, stands if len(got) else None, np.repeat(stands, [len(x) for x in both]) if len(got) else None)
 
 
 def scored(df: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -122,3 +122,11 @@ def test_counterfactuals_cut_bias():
     gap = lambda c: abs(c.score("muslims live here") - c.score("christians live here"))
     plain, fair = toxicity.fit(rows, np.array(toxic), pairs, penalty=0), toxicity.fit(rows, np.array(toxic), pairs, penalty=5)
     assert gap(fair) < 0.2 * gap(plain) and fair.score("vile scum") > 0.5
+
+
+def test_toxicity_keeps_the_prior_under_caps(spark):
+    docs = [(i, ("nice calm words" if i % 10 else "vile awful words") if i % 3 else "plain words") for i in range(2000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(2000)], "doc_id long, toxic long")
+    mean = lambda rows: np.mean([r.score for r in toxicity.scored(df, toxicity.trained(df, marks, rows=rows)).collect()])
+    assert abs(mean(5000) - 0.1) < 0.02 and abs(mean(150) - 0.1) < 0.03
