@@ -5,13 +5,13 @@ navigation, headers, footers, asides, forms, scripts, comments of readers and ot
 role, class or id). Where the page has an article or main element with text, only its blocks
 stay. Then pages are paired: within each host they are ordered by URL path, and each is aligned with its
 neighbours by the longest common subsequence of its blocks; blocks that both share are the site's,
-not the page's, and are deleted. Two things stay though shared: paragraphs, headings, list items
-and their like inside an article or main element, as articles repeat passages of each other, and all
-blocks of a pair that is one text (nearly all of it is shared, as in a copy of the page).
+not the page's, and are deleted. Neighbours are the nearest pages whose blocks differ: copies, whose blocks are all equal, are walked past,
+so they all get one text. One thing stays though shared: paragraphs, headings, list items
+and their like inside an article or main element, as articles repeat passages of each other.
 
-The order of host, path and id is cut into ranges at keys drawn by a hash; the first and last page of
-each range are known from the keys alone and are sent to the range beside theirs as well. Each
-range streams through one task in order, which holds three pages at a time. So no host, however large, makes a
+The order of host, path and id is cut into ranges at keys drawn by a hash; a pass over keys and digests of
+blocks finds the nearest page on each side of a range that differs from its outer one, which is sent to the range as well. Each
+range streams through one task in order, which holds three pages and the ids of a run of copies at a time. So no host, however large, makes a
 task large, the pairs don't depend on the ranges, and only block text is shuffled, once.
 
 Defined results: null and empty html give an empty text; a page without neighbours on its host keeps
@@ -21,6 +21,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -35,7 +36,6 @@ from karstmap.llm.common import by_batch, slices
 
 RANGE_PAGES, MAX_RANGES = 1000, 20_000
 KEY = ("host", "path", "has", "id")
-SAME_PAGE = 0.9  #: a page that shares more of its text than this with a neighbour is a copy of it
 MAX_CELLS = 4_000_000  #: of an alignment's table; beyond it the pair is aligned within unique blocks
 
 #: Tags whose whole content is not text of the page.
@@ -157,14 +157,12 @@ def common(a: list[str], b: list[str]) -> list[int]:
     return [*range(head), *reversed(middle), *range(len(a) - tail, len(a))]
 
 
-def differenced(blocks: list[str], fixed: list[bool], neighbours: list[list[str]]) -> list[str]:
-    """The page's blocks without those that a neighbour shares in order; fixed ones stay."""
+def differenced(blocks: list[str], fixed: list[bool] | tuple[bool, ...], neighbours: list[list[str]]) -> list[str]:
+    """The page's blocks without those that a neighbour, unless it is a copy, shares in order; fixed ones stay."""
     gone: set[int] = set()
-    size = sum(map(len, blocks))
     for other in neighbours:
-        shared = common(blocks, other)
-        if sum(len(blocks[i]) for i in shared) <= SAME_PAGE * size:
-            gone.update(i for i in shared if not fixed[i])
+        if other != blocks:
+            gone.update(i for i in common(blocks, other) if not fixed[i])
     return [b for i, b in enumerate(blocks) if i not in gone]
 
 
@@ -177,6 +175,27 @@ def url_key(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
+def digest(host: str, blocks: list[str]) -> bytes:
+    """Of host and blocks, which hold no line breaks."""
+    return hashlib.md5("\n".join((host, *blocks)).encode("utf-8", "surrogatepass")).digest()
+
+
+def beyond(found: list[tuple[int, list[tuple], list[tuple]]]) -> dict[tuple, list[int]]:
+    """The ranges that each outer page goes to, from (range, its first pages, its last ones): the outer page and the nearest that differs from it, if any, as (key, digest)."""
+    sent: dict[tuple, list[int]] = {}
+    for ranges, outer, inner in ((found, 1, 2), (found[::-1], 2, 1)):
+        last: tuple | None = None
+        other: tuple | None = None  # the nearest that differs from the last
+        for row in ranges:
+            near = other if last is not None and last[-1] == row[outer][0][-1] else last
+            if near is not None:
+                sent.setdefault(near, []).append(row[0])
+            end = row[inner]
+            other = end[1] if len(end) > 1 else other if last is not None and last[-1] == end[0][-1] else last
+            last = end[0]
+    return sent
+
+
 def split_keys(keys: DataFrame, ranges: int) -> list[tuple]:
     """At most ranges - 1 keys, in order, that begin a range; drawn by their hash."""
     return sorted({tuple(r) for r in keys.orderBy(F.xxhash64(*KEY), *KEY).limit(ranges - 1).collect()}) if ranges > 1 else []
@@ -207,34 +226,44 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     ranges = max(1, min(MAX_RANGES, pages.count() // range_pages))
     drawn = split_keys(urls.mapInArrow(by_batch(locate), f"{key_schema}, part int").select(*KEY), ranges)
     splits = drawn
-    ends = F.min(F.struct(*KEY)).alias("first"), F.max(F.struct(*KEY)).alias("last")
-    found = sorted((r["part"], tuple(r["first"]), tuple(r["last"])) for r in urls.mapInArrow(by_batch(locate), f"{key_schema}, part int").groupBy("part").agg(*ends).collect())  # one row a range
+
+    def outline(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = keys_of(batch)
+        digests = [digest(k[0], [x[0] for x in blocks_of(h)]) for k, h in zip(keys, batch.column(html_col).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([*columns_of(keys), pa.array([bisect_right(drawn, k) for k in keys], pa.int32()), pa.array(digests, pa.binary())], [*KEY, "part", "digest"])
+
     beside: dict[tuple, list[int]] = {}
-    for (a, _, last), (b, first, _) in zip(found, found[1:], strict=False):
-        beside.setdefault(last, []).append(b)
-        beside.setdefault(first, []).append(a)
+    if drawn:
+        each = pages.select(id_col, url_col, html_col).mapInArrow(by_batch(outline), f"{key_schema}, part int, digest binary").groupBy("part", "digest")
+        runs = each.agg(F.min(F.struct(*KEY)).alias("first"), F.max(F.struct(*KEY)).alias("last"))
+        two = [F.slice(F.sort_array(F.collect_list(F.struct(c, "digest")), asc=c == "first"), 1, 2).alias(c) for c in ("first", "last")]
+        flat = lambda pages_: [(*x[0], bytes(x[1])) for x in pages_]
+        beside = beyond(sorted((r["part"], flat(r["first"]), flat(r["last"])) for r in runs.groupBy("part").agg(*two).collect()))  # one row a range
     shared = spark.sparkContext.broadcast((drawn, beside))
 
     def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
         starts, near = shared.value
         keys = keys_of(batch)
         own = [blocks_of(h) for h in batch.column(html_col).to_pylist()]
-        rows = [(i, part, g > 0) for i, k in enumerate(keys) for g, part in enumerate((bisect_right(starts, k), *near.get(k, ())))]
+        digests = [digest(k[0], [x[0] for x in o]) for k, o in zip(keys, own, strict=True)]
+        rows = [(i, part, g > 0) for i, k in enumerate(keys) for g, part in enumerate((bisect_right(starts, k), *near.get((*k, digests[i]), ())))]
         at = pa.array([i for i, _, _ in rows], pa.int64())
-        columns = [batch.column(id_col).take(at), batch.column(url_col).take(at), *(c.take(at) for c in columns_of(keys)), pa.array([p for _, p, _ in rows], pa.int32()), pa.array([g for _, _, g in rows], pa.bool_())]
+        columns = [batch.column(id_col).take(at), batch.column(url_col).take(at), *(c.take(at) for c in columns_of(keys)), pa.array([p for _, p, _ in rows], pa.int32()), pa.array([g for _, _, g in rows], pa.bool_()), pa.array(digests, pa.binary()).take(at)]
         columns += [pa.array([[x[0] for x in own[i]] for i, _, _ in rows], pa.list_(pa.string())), pa.array([[x[2] for x in own[i]] for i, _, _ in rows], pa.list_(pa.bool_()))]
-        return pa.RecordBatch.from_arrays(columns, ["__id", "__url", *KEY, "part", "ghost", "blocks", "fixed"])
+        return pa.RecordBatch.from_arrays(columns, ["__id", "__url", *KEY, "part", "ghost", "digest", "blocks", "fixed"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: dict | None = None
-        page: dict | None = None
+        page: dict | None = None  # the first of a run of copies
+        run: list[tuple] = []
         out: list[tuple] = []
 
         def close(after: dict | None) -> None:
-            if page is not None and not page["ghost"]:
+            if run:
                 near = [x["blocks"] for x in (before, after) if x is not None and x["part"] == page["part"] and x["host"] == page["host"] != ""]
-                text = " ".join(differenced(page["blocks"], page["fixed"], near))
-                out.append((page["__id"], page["__url"], text, len(text)))
+                texts = {f: " ".join(differenced(page["blocks"], f, near)) for f in {f for *_, f in run}}
+                out.extend((i, u, texts[f], len(texts[f])) for i, u, f in run)
+                run.clear()
 
         def flush() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((key_types[3], pa.string(), pa.string(), pa.int64()))], [id_col, url_col, "text", "n_chars"])
@@ -243,14 +272,17 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
         for batch in slices(batches):
             for row in batch.to_pylist():
-                close(row)
-                before, page = page, row
+                if page is None or (row["part"], row["digest"]) != (page["part"], page["digest"]):
+                    close(row)
+                    before, page = page, row
+                if not row["ghost"]:
+                    run.append((row["__id"], row["__url"], tuple(row["fixed"])))
             if out:
                 yield flush()
         close(None)
         if out:
             yield flush()
 
-    parsed = pages.select(id_col, url_col, html_col).mapInArrow(by_batch(parse), f"__id {kind}, __url string, {key_schema}, part int, ghost boolean, blocks array<string>, fixed array<boolean>")
-    ordered = parsed.repartition(ranges, "part").sortWithinPartitions("part", *KEY, "blocks")
+    parsed = pages.select(id_col, url_col, html_col).mapInArrow(by_batch(parse), f"__id {kind}, __url string, {key_schema}, part int, ghost boolean, digest binary, blocks array<string>, fixed array<boolean>")
+    ordered = parsed.repartition(ranges, "part").sortWithinPartitions("part", *KEY, "digest")
     return ordered.mapInArrow(pair, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")

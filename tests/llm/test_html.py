@@ -70,3 +70,12 @@ def test_common_is_longest(monkeypatch):
         assert len(at) == rows[-1][-1] and at == sorted(set(at))
         rest = iter(b)
         assert all(a[i] in rest for i in at)
+
+
+def test_template_goes_however_large_and_past_copies(spark):
+    site = lambda body: f"<div>{'menu of all ' * 200}</div><div>{body}</div><div>{'rights ' * 100}</div>"
+    bodies = ["short one", *["copied"] * 4, "short two", *["copied"] * 3]
+    df = spark.createDataFrame([(i, f"http://a.org/{i}", site(b)) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    for size in (1000, 3, 1):
+        got = {r.page_id: r.text for r in htmltext.main_text(df, range_pages=size).collect()}
+        assert got == dict(enumerate(bodies))
