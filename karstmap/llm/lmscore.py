@@ -1,15 +1,15 @@
 """A hidden Markov language model, trained by Baum-Welch over all training texts, and a unigram base.
 
-Counts of all training tokens are summed in the shuffle; nothing is left out of them. The commonest
-words, at most ``HEAD_WORDS``, are sent to the tasks with their counts; those of all others come from
-a join. The ``MODEL_WORDS`` commonest are symbols of the model, all other words its one rare symbol. So a
+Counts of all training tokens are summed in the shuffle; nothing is left out of them. The words of 4
+occurrences or more are sent to the tasks with their counts; those of all others come from
+a join. All of these words, so more in a larger corpus, are symbols of the model, all other words its one rare symbol. So a
 text's probability is exact: that of its symbols, by the scaled forward recursion over the latent
 states, times that of each rare word among the rare, by their counts. A rare word occurs seldom by its definition, so the join has no hot key
 but a word that training never saw.
 
 Texts are coded once and stored. A round of Baum-Welch runs forward and backward over many texts at
-a time and sends each block of the vocabulary's expected counts to be summed, in two steps, so no
-task gets more than a share of them. In training, texts of over ``CHUNK`` tokens are cut into
+a time and sends the expected counts of the symbols it met, by blocks of the vocabulary, to be summed, in two steps, so no
+task gets more than a share of them; each round's shuffle is dropped before the next. In training, texts of over ``CHUNK`` tokens are cut into
 sequences of that length; in scoring they are not: each further chunk runs once from every state,
 which gives the chunk's transfer matrix, and the chunks are multiplied in order.
 
@@ -23,6 +23,7 @@ held out; repeated rows give repeated rows; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -35,12 +36,12 @@ from pyspark.sql import functions as F
 
 from karstmap.llm.common import by_batch, fold_of, slices, stored, utf8
 
-STATES, ROUNDS, SAMPLE_ROUNDS, SAMPLE_DOCS, SAMPLE_BYTES = 4, 2, 25, 300, 1 << 15
+STATES, ROUNDS, SAMPLE_ROUNDS, SAMPLE_DOCS, SAMPLE_BYTES = 8, 4, 25, 300, 1 << 15
 RARE_LEVEL = 2  #: words of under 4 occurrences are always rare, so the rare symbol has the weight that new words need
-HEAD_WORDS, MODEL_WORDS, BLOCK_WORDS, CHUNK, BATCH_TOKENS, FLUSH = 200_000, 32_768, 8_192, 2048, 600_000, 250_000
+HEAD_WORDS = MODEL_WORDS = None  #: no bound
+BLOCK_WORDS, CHUNK, BATCH_TOKENS, FLUSH = 8_192, 2048, 600_000, 250_000
 END, RARE = 0, 1  #: symbols; the head words follow
 PRIOR = 0.05  #: share of the unigram distribution mixed into each state's
-SPREAD = 16
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -136,6 +137,13 @@ class Model:
         emitted = np.stack([np.bincount(symbol, gamma[:, i], len(self.emit)) for i in range(k)], axis=1)
         return gammas[-1].sum(axis=0), moves * self.move, emitted
 
+    def met(self, coded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """expected() with the symbols that occur, and rows of these alone."""
+        symbols, at = np.unique(np.concatenate(coded), return_inverse=True)
+        own = Model(self.start, self.move, self.emit[symbols].astype(float))
+        first, moves, emitted = own.expected(np.split(at.astype(np.int32), np.cumsum([len(x) for x in coded])[:-1]))
+        return first, moves, symbols, emitted
+
     def logp(self, coded: list[np.ndarray], chunk: int = CHUNK) -> np.ndarray:
         """Natural log likelihood of each sequence, however long."""
         k = len(self.start)
@@ -162,7 +170,7 @@ class Model:
 
 def fitted(first: np.ndarray, moves: np.ndarray, emitted: np.ndarray, unigram: np.ndarray) -> Model:
     """The model that expected counts give, smoothed so that nothing is impossible."""
-    share = emitted / np.maximum(emitted.sum(axis=0), 1e-300)
+    share = emitted / np.maximum(emitted.sum(axis=0, dtype=float), 1e-300)
     return Model((first + 1) / (first + 1).sum(), (moves + 1) / (moves + 1).sum(axis=1, keepdims=True), (1 - PRIOR) * share + PRIOR * unigram[:, None] if emitted.sum() else np.tile(unigram[:, None], (1, len(first))))
 
 
@@ -171,9 +179,16 @@ def seeded(coded: list[np.ndarray], unigram: np.ndarray, states: int) -> Model:
     draw = np.random.default_rng(0)
     emitted = unigram[:, None] * draw.uniform(0.2, 1.8, (len(unigram), states))
     model = Model(np.full(states, 1 / states), np.full((states, states), 0.01 / states) + 0.99 * np.eye(states), emitted / emitted.sum(axis=0))
-    for _ in range(SAMPLE_ROUNDS if coded else 0):
-        model = fitted(*model.expected(coded), unigram)
-    return model
+    if not coded:
+        return model
+    met = np.unique(np.concatenate(coded))
+    model.emit = model.emit[met]
+    coded = [np.searchsorted(met, x) for x in coded]
+    for _ in range(SAMPLE_ROUNDS):
+        model = fitted(*model.expected(coded), unigram[met])
+    emit = np.tile(PRIOR * unigram[:, None], (1, states))  # as fitted() gives symbols that don't occur
+    emit[met] = model.emit
+    return Model(model.start, model.move, emit)
 
 
 def pieces(coded: list[np.ndarray]) -> list[np.ndarray]:
@@ -201,44 +216,56 @@ def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield rows
 
 
-def _added(df: DataFrame, by: tuple[str, ...], size: int) -> DataFrame:
+def _sparse(counts: np.ndarray, block: int, part: int) -> tuple[int, int, bytes, bytes]:
+    """block, part, the rows that hold counts and these as 32-bit numbers."""
+    at = np.flatnonzero(counts.any(axis=1)).astype(np.int32)
+    return block, part, at.tobytes(), counts[at].astype(np.float32).tobytes()
+
+
+def _batch(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["block", "part", "at", "counts"])
+
+
+def _added(df: DataFrame, by: tuple[str, ...], size: int, states: int) -> DataFrame:
     """block and the sum of its arrays, streamed through one task for each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for block, part, values in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "counts")), strict=True):
-                own = np.frombuffer(values)
+            for block, part, at, values in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "at", "counts")), strict=True):
                 key = (block, part if "part" in by else 0)
-                total[key] = total[key] + own if key in total else own.copy()
+                if key not in total:
+                    total[key] = np.zeros((states + 1 if block < 0 else BLOCK_WORDS, states))
+                total[key][np.frombuffer(at, np.int32)] += np.frombuffer(values, np.float32).reshape(-1, states)
         for (block, part), values in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["block", "part", "counts"])
+            yield _batch([_sparse(values, block, part)])
 
-    return df.repartition(size, *by).mapInArrow(run, "block int, part int, counts binary")
+    return df.repartition(size, *by).mapInArrow(run, "block int, part int, at binary, counts binary")
 
 
 class Trained:
     """Counts, head words and model of a training set."""
 
-    def __init__(self, counts: DataFrame, total: int, distinct: int, words: list[bytes], head: np.ndarray, model_words: int):
+    def __init__(self, counts: DataFrame, total: int, distinct: int, words: list[bytes], head: np.ndarray, model_words: int | None):
         self.counts, self.total, self.distinct, self.words, self.head = counts, total, distinct, words, head
-        own = head[: model_words + 2]
+        own = head if model_words is None else head[: model_words + 2]
         self.symbols = len(own)
         self.rare_total, self.rare_distinct = total - int(own.sum()), distinct - int((own > 0).sum())
 
 
-def learned_counts(train: DataFrame, text_col: str = "text", head_words: int = HEAD_WORDS, model_words: int = MODEL_WORDS) -> Trained:
-    """All counts, and the head: the words of the smallest power of two of occurrences that at most head_words words reach."""
+def learned_counts(train: DataFrame, text_col: str = "text", head_words: int | None = HEAD_WORDS, model_words: int | None = MODEL_WORDS) -> Trained:
+    """All counts, and the head: the words of the smallest power of two of occurrences, 4 or more, that at most head_words words (None: any number) reach."""
     counts = stored(counted(train, text_col), "counts")
     words = counts.where(F.length("word") > 0)
     level = F.floor(F.log2(F.col("n").cast("double")) + 1e-9).cast("int").alias("level")
     levels = {r["level"]: (r["words"], r["n"]) for r in words.groupBy(level).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()}
     ends = counts.where(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0
     least, held = 64, 0
-    while least > RARE_LEVEL and held + levels.get(least - 1, (0, 0))[0] <= head_words:
+    while least > RARE_LEVEL and (head_words is None or held + levels.get(least - 1, (0, 0))[0] <= head_words):
         least -= 1
         held += levels.get(least, (0, 0))[0]
-    head = words.where(level >= least).orderBy(F.desc("n"), "word").toArrow()  # at most head_words rows
+    head = words.where(level >= least).orderBy(F.desc("n"), "word").toArrow()  # at most head_words rows, or the words of 4 or more
     n = sum(x[1] for x in levels.values()) + ends
     distinct = sum(x[0] for x in levels.values()) + (ends > 0)
     own = np.asarray(head.column("n"), np.int64) if len(head) else np.zeros(0, np.int64)
@@ -279,29 +306,36 @@ def baum_welch(rows: DataFrame, trained: Trained, train_col: str = "train", stat
     size = trained.symbols
     model = seeded(pieces([symbols_of(np.frombuffer(x, np.int32), size) for x in sample.column("ids").to_pylist()]), unigram, states)
     blocks = -(-size // BLOCK_WORDS)
+    spread = max(1, round(rows.rdd.getNumPartitions() ** 0.5))
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((model.start, model.move, model.emit))
+        shared = spark.sparkContext.broadcast((model.start, model.move, model.emit.astype(np.float32)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = Model(*shared.value)
             k = len(own.start)
             edge, emitted = np.zeros((k + 1, k)), np.zeros((size, k))
             for part in batches_of(batches):
-                first, moves, symbols = own.expected(pieces([symbols_of(r["ids"], size) for r in part]))
+                first, moves, symbols, counts = own.met(pieces([symbols_of(r["ids"], size) for r in part]))
                 edge[0] += first
                 edge[1:] += moves
-                emitted += symbols
+                emitted[symbols] += counts
             if edge.any():
-                out = [(-1, edge), *((b, emitted[b * BLOCK_WORDS : (b + 1) * BLOCK_WORDS]) for b in range(blocks))]
-                part = TaskContext.get().partitionId() % SPREAD
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([part] * len(out), pa.int32()), pa.array([x.tobytes() for _, x in out], pa.binary())], ["block", "part", "counts"])
-
-        sent = train.select("ids").mapInArrow(run, "block int, part int, counts binary")
-        wide = min(64, (blocks + 1) * SPREAD)
-        summed = {r["block"]: np.frombuffer(r["counts"]).reshape(-1, states) for r in _added(_added(sent, ("block", "part"), wide), ("block",), blocks + 1).collect()}  # head_words x states numbers
-        if summed:
-            edge = summed.pop(-1)
-            model = fitted(edge[0], edge[1:], np.concatenate([summed[b] for b in range(blocks)]), unigram)
+                part = TaskContext.get().partitionId() % spread
+                yield _batch([_sparse(edge, -1, part), *(_sparse(emitted[b * BLOCK_WORDS : (b + 1) * BLOCK_WORDS], b, part) for b in range(blocks))])
+
+        sent = train.select("ids").mapInArrow(run, "block int, part int, at binary, counts binary")
+        wide = min(64, (blocks + 1) * spread)
+        edge, emitted = np.zeros((states + 1, states)), np.zeros((size, states), np.float32)
+        summed = _added(_added(sent, ("block", "part"), wide, states), ("block",), min(64, blocks + 1), states)
+        for r in summed.collect():  # symbols x states numbers
+            to = edge if r["block"] < 0 else emitted[r["block"] * BLOCK_WORDS : (r["block"] + 1) * BLOCK_WORDS]
+            to[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["counts"], np.float32).reshape(-1, states)
+        if edge.any():
+            model = fitted(edge[0], edge[1:], emitted, unigram)
+        del sent, summed
+        shared.destroy()
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # so that Spark's cleaner drops the round's shuffles from disk
     return model
 
 
@@ -309,7 +343,7 @@ def scored(rows: DataFrame, trained: Trained, model: Model, id_col: str = "doc_i
     """id_col, train_col, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = rows.sparkSession
     kind, symbols = rows.schema[id_col].dataType.simpleString(), trained.symbols
-    shared = spark.sparkContext.broadcast((model.start, model.move, model.emit, np.log10(trained.head + 0.5), trained.head > 0))
+    shared = spark.sparkContext.broadcast((model.start, model.move, model.emit.astype(np.float32), np.log10(trained.head + 0.5), trained.head > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit, logs, known = shared.value
@@ -345,7 +379,7 @@ def scored(rows: DataFrame, trained: Trained, model: Model, id_col: str = "doc_i
     )
 
 
-def language_model_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, states: int = STATES, rounds: int = ROUNDS, head_words: int = HEAD_WORDS, model_words: int = MODEL_WORDS) -> DataFrame:
+def language_model_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, states: int = STATES, rounds: int = ROUNDS, head_words: int | None = HEAD_WORDS, model_words: int | None = MODEL_WORDS) -> DataFrame:
     """scored() of every text, learning from those outside the held fold."""
     train = F.coalesce(fold_of(id_col, folds) != held, F.lit(False))
     docs = df.select(F.col(id_col), F.col(text_col), train.alias("__train"))

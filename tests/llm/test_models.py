@@ -130,3 +130,16 @@ def test_toxicity_keeps_the_prior_under_caps(spark):
     marks = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(2000)], "doc_id long, toxic long")
     mean = lambda rows: np.mean([r.score for r in toxicity.scored(df, toxicity.trained(df, marks, rows=rows)).collect()])
     assert abs(mean(5000) - 0.1) < 0.02 and abs(mean(150) - 0.1) < 0.03
+
+
+def test_symbols_grow_with_the_corpus(spark):
+    df = spark.range(40_000).selectExpr("concat_ws(' ', array_repeat(concat('w', id), 4)) AS text")
+    assert lmscore.learned_counts(df).symbols == 40_000 + 2 and (lmscore.STATES, lmscore.ROUNDS) == (8, 4)
+
+
+def test_met_is_expected():
+    m, draw = model(v=50), np.random.default_rng(12)
+    coded = [draw.choice([3, 7, 40], n).astype(np.int32) for n in (4, 1, 9)]
+    first, moves, symbols, counts = m.met(coded)
+    whole = m.expected(coded)
+    assert np.allclose(first, whole[0]) and np.allclose(moves, whole[1]) and np.allclose(counts, whole[2][symbols]) and np.isclose(counts.sum(), 14)
