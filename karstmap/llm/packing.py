@@ -1,17 +1,21 @@
 """Best-fit packing of tokenised documents by a configuration linear program.
 
 Pieces of at most ``capacity`` tokens are counted by length; that histogram, never larger than the
-capacity, is all the driver sees. Multiplicative weights solve the covering program over it:
-every length has a weight that falls as configurations cover it, a knapsack over a block of
-lengths (dynamic programming over capacity and value) prices the best configuration, and the
-configuration is taken as often as a share of what its lengths have left, rounded down. What the
-rounding leaves is placed by best fit, longest first, into the open configurations and then into new
-ones. The plan gives, for each length and range of ranks, a run of sequences and an offset;
-pieces are ranked within their length in salted parts, so a length that a third of the pieces have
-is no task's burden, and find their place by a binary search in the plan.
-
-Defined results: null and empty texts are the end id alone; documents repeat as often as in the
-input; an empty table packs into nothing; other columns are ignored.
+capacity, is all the driver sees. The program covers the pieces of more than ``capacity / FILLER``
+tokens by configurations, at the fewest sequences in fractions. Its lengths are cut into ``GROUPS``
+groups of about as many pieces each (or of one length), each counted as its longest. Multiplicative weights
+solve it: each round takes the configuration that is worth most, and the weights of its groups fall; a knapsack by dynamic
+programming over all groups prices a new one whenever those known may be worth less than the best, which also
+gives a bound from below. Rounds end where value and bound are within ``GAP``, or after ``ROUNDS``. Fractions are rounded down, the largest remainders up while
+pieces are left. The pieces left over and the small ones go by best fit, longest first, into the room that the
+configurations leave and then into new ones. Where best fit alone needs fewer sequences, its plan is taken.
+
+The plan gives, for each length and range of ranks, a run of sequences and an offset. Pieces are
+ranked within their length by ranges of the order of length and hash, so a length that a third of
+the pieces have is cut like any other range, and find their place by a binary search in the plan.
+
+Defined results: null and empty texts are the end id alone; very long texts are cut into pieces, all of which are kept; documents repeat as often as in the
+input, and equal lengths are told apart by a hash of id and piece; an empty table packs into nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,17 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karstmap.llm.common import by_batch, slices, stored
 
 CAPACITY, END_ID = 4096, 1
 CACHE_WORDS = 300_000
-ROUNDS, BLOCK, SHARE, RATE = 4000, 96, 0.1, 0.5
-FULL, MISSES = 0.995, 40  # so full is a configuration that is used; so many that are not end the rounds
-FILLER = 12  # pieces shorter than this part of the capacity wait for the best fit
-PART_ROWS = 200_000
+GROUPS, ROUNDS, RATE, GAP = 96, 12_000, 0.1, 0.01
+FILLER = 12  #: pieces of at most this part of the capacity fill the room that configurations leave
 SLICE, LEARN = 1000, 1000
 
 
@@ -140,6 +143,20 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def length_groups(counts: np.ndarray, groups: int = GROUPS) -> list[list[int]]:
+    """Lengths with pieces, longest first, cut into groups: a group has about 1 / groups of the pieces, or is one length."""
+    quota = max(1, -(-int(counts.sum()) // groups))
+    out: list[list[int]] = []
+    held = quota
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        if held >= quota or counts[length] >= quota:
+            out.append([])
+            held = 0
+        out[-1].append(length)
+        held += int(counts[length])
+    return out
+
+
 def priced(values: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[int, int]:
     """The knapsack's best configuration, as index -> copies: at most capacity tokens and counts copies of each length."""
     best = np.zeros(capacity + 1)
@@ -167,6 +184,105 @@ def priced(values: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity
     return out
 
 
+class Covering:
+    """The configuration linear program over groups of lengths: the fewest sequences, in fractions, that cover all pieces.
+
+    use: configuration -> fraction, which covers every group; value: its total; bound: no packing, whole or in
+    fractions, of pieces as long as their group's longest needs less.
+    """
+
+    def __init__(self, sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = RATE, gap: float = GAP):
+        columns: list[tuple[tuple[int, int], ...]] = [((i, 1),) for i in range(len(sizes))]
+        matrix, taken = np.zeros((2 * len(sizes), len(sizes))), np.zeros(2 * len(sizes))
+        matrix[: len(sizes)], taken[: len(sizes)] = np.eye(len(sizes)), need  # alone in a sequence each: a solution to begin with
+        self.value, self.bound, best = float(need.sum()), 0.0, taken.copy()
+        weight, covered = sizes / capacity, np.zeros(len(sizes))
+        top, total, taken = np.inf, 0.0, taken * 0  # no configuration is worth more than top, as weights only fall
+        for k in range(rounds if len(sizes) else 0):
+            worth = matrix[: len(columns)] @ weight
+            at = int(worth.argmax())
+            if worth[at] < (1 - gap) * top:
+                config = priced(weight, sizes, need, capacity)
+                column = np.zeros(len(sizes))
+                column[list(config)] = list(config.values())
+                top = float(column @ weight)
+                self.bound = max(self.bound, float(weight @ need) / top)  # weights over the best worth are a dual solution
+                if top > worth[at] * (1 + 1e-12):
+                    at = len(columns)
+                    if at == len(matrix):
+                        matrix, taken = np.concatenate([matrix, matrix * 0]), np.concatenate([taken, taken * 0])
+                    columns.append(tuple(sorted(config.items())))
+                    matrix[at] = column
+            held = matrix[at] > 0
+            step = float((need[held] / matrix[at][held]).min())
+            taken[at] += step
+            total += step
+            covered += step * matrix[at]
+            weight = weight * np.exp(-rate * step * matrix[at] / need)
+            if weight.max() < 1e-100:
+                weight, top = weight * 1e100, top * 1e100
+            if k % 50 == 0:
+                least = float((covered / need).min())
+                if least and total / least < self.value:
+                    self.value, best = total / least, taken / least
+                if self.value <= self.bound * (1 + gap):
+                    break
+        self.use = {columns[i]: float(best[i]) for i in np.flatnonzero(best).tolist()}
+
+    def rounded(self, need: np.ndarray) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+        """Whole uses that cover no piece twice: each fraction rounded down, then one more for the largest remainders that still fit."""
+        left, uses = need.astype(np.int64).copy(), {}
+        order = sorted(self.use, key=lambda k: (-self.use[k], k))
+        for config in order:
+            n = min(int(self.use[config] + 1e-9), *(int(left[i]) // c for i, c in config))
+            uses[config] = n
+            for i, c in config:
+                left[i] -= n * c
+        for config in sorted(order, key=lambda k: (int(self.use[k]) - self.use[k], k)):
+            if all(left[i] >= c for i, c in config):
+                uses[config] += 1
+                for i, c in config:
+                    left[i] -= c
+        return [(k, n) for k, n in uses.items() if n]
+
+
+def dealt(uses: list[tuple[tuple[tuple[int, int], ...], int]], groups: list[list[int]], left: np.ndarray) -> list[tuple[dict[int, int], int]]:
+    """Configurations of groups as configurations of lengths: each group's pieces are handed out longest first; left loses them."""
+    at = [0] * len(groups)
+    out: list[tuple[dict[int, int], int]] = []
+    for config, n in uses:
+        while n:
+            many, one = n, {}
+            for g, copies in config:
+                while not left[groups[g][at[g]]]:
+                    at[g] += 1
+                many = min(many, int(left[groups[g][at[g]]]) // copies)
+            for g, copies in config:
+                place, rest = at[g], copies
+                while rest:  # one use takes what is left of a length and goes on to the next
+                    length = groups[g][place]
+                    took = copies if many else min(rest, int(left[length]))
+                    if took:
+                        one[length] = one.get(length, 0) + took
+                    rest -= took
+                    place += 1
+            many = max(many, 1)
+            for length, copies in one.items():
+                left[length] -= copies * many
+            out.append((one, many))
+            n -= many
+    return out
+
+
+def linear_program(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[Covering, list[list[int]], np.ndarray]:
+    """The program over the pieces of more than capacity / FILLER tokens and under capacity, its groups and their needs."""
+    own = counts.astype(np.int64).copy()
+    own[: capacity // FILLER + 1] = own[capacity] = 0
+    groups = length_groups(own)
+    need = np.array([own[g].sum() for g in groups], np.int64)
+    return Covering(np.array([g[0] for g in groups], np.int64), need, capacity, rounds), groups, need
+
+
 def configurations(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """Configurations (length -> copies) and how often each is used, covering counts[length] pieces exactly."""
     left = counts.astype(np.int64).copy()
@@ -174,38 +290,10 @@ def configurations(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = R
     if left[capacity]:
         plan.append(({capacity: 1}, int(left[capacity])))
         left[capacity] = 0
-    filler = capacity // FILLER
-    total = np.maximum(left, 1)
-    weight = np.ones(capacity + 1)
-    misses = 0
-    draw = np.random.default_rng(0)
-    for _ in range(rounds):
-        alive = np.flatnonzero(left[filler:]) + filler
-        if not alive.size:
-            break
-        block = alive
-        if alive.size > BLOCK:
-            # those of most weight, spread by a fixed draw
-            block = np.sort(alive[np.argsort(-weight[alive] * draw.uniform(0.2, 1, alive.size), kind="stable")[:BLOCK]])
-        chosen = priced(block * (1 + weight[block] / weight[block].max() / 2), block, left[block], capacity)
-        uses = max(1, int(SHARE * min(left[block[i]] // n for i, n in chosen.items())))
-        config = {int(block[i]): n for i, n in chosen.items()}
-        used = sum(k * n for k, n in config.items())
-        if used < capacity * FULL:
-            misses += 1
-            if misses > MISSES:
-                break  # nothing left fills a configuration; best fit does the rest
-            for k in config:
-                weight[k] *= 1 / 4  # the best it can be in is not worth its price
-            continue
-        misses = 0
-        for k, n in config.items():
-            left[k] -= n * uses
-            weight[k] *= np.exp(-RATE * n * uses / total[k]) if left[k] else 0.0
-        weight *= 1 / max(weight[left > 0].max(initial=0.0), 1e-9)
-        weight = np.maximum(weight, 1e-6)
-        plan.append((config, uses))
-    return best_fit(plan, left, capacity)
+    plain = best_fit(list(plan), left, capacity)
+    program, groups, need = linear_program(left, capacity, rounds)
+    plan = best_fit(plan + dealt(program.rounded(need), groups, left), left, capacity)
+    return min(plan, plain, key=lambda p: sum(n for _, n in p))
 
 
 def best_fit(plan: list[tuple[dict[int, int], int]], left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -247,7 +335,7 @@ def best_fit(plan: list[tuple[dict[int, int], int]], left: np.ndarray, capacity:
     return [x for group in open_.values() for x in group]
 
 
-def placed(ranked: DataFrame, plan: list[tuple[dict[int, int], int]]) -> DataFrame:
+def placed(ranked: DataFrame, firsts: list[tuple[int, int, int]], plan: list[tuple[dict[int, int], int]]) -> DataFrame:
     """ranked with sequence_id and offset: each length's ranks are dealt to the plan's configurations in order."""
     lows: dict[int, int] = {}
     entries: list[tuple[int, int, int, int, int]] = []
@@ -264,34 +352,55 @@ def placed(ranked: DataFrame, plan: list[tuple[dict[int, int], int]]) -> DataFra
     lengths, low, sequence, copies, offset = np.array(entries, np.int64).reshape(-1, 5).T
     shift = np.int64(1) << np.int64(44)
     keys = lengths * shift + low
+    parts, own_lengths, begins = np.array(sorted(firsts), np.int64).reshape(-1, 3).T
+    part_keys = parts * shift + own_lengths
+    shared = ranked.sparkSession.sparkContext.broadcast((keys, low, sequence, copies, offset, part_keys, begins))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, rank = np.asarray(batch.column("length")), np.asarray(batch.column("rank"))
+        keys, low, sequence, copies, offset, part_keys, begins = shared.value
+        own = np.asarray(batch.column("length"))
+        rank = np.asarray(batch.column("own")) + begins[np.searchsorted(part_keys, np.asarray(batch.column("part")) * shift + own)]
         at = np.searchsorted(keys, own * shift + rank, side="right") - 1
         slot = rank - low[at]
         out = {"sequence_id": sequence[at] + slot // copies[at], "offset": offset[at] + slot % copies[at] * own}
         columns = [batch.column(c) for c in names]
         return pa.RecordBatch.from_arrays([*columns, *(pa.array(v, pa.int64()) for v in out.values())], [*names, *out])
 
-    names = [c for c in ranked.columns if c != "rank"]
+    names = [c for c in ranked.columns if c not in ("part", "own")]
     schema = ", ".join([*(f"`{c}` {ranked.schema[c].dataType.simpleString()}" for c in names), "sequence_id long", "offset long"])
     return ranked.mapInArrow(by_batch(run), schema)
 
 
-def ranked(df: DataFrame, order: tuple[str, ...], parts: int) -> DataFrame:
-    """df with rank, from 0 within each length: a row number within a part of the length after the counts of the parts before."""
-    part = df.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = part.groupBy("length", "part").count().withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    own = F.row_number().over(Window.partitionBy("length", "part").orderBy(*order)) - 1
-    return part.withColumn("own", own).join(starts, ["length", "part"]).withColumn("rank", F.col("first") + F.col("own")).select(*df.columns, "rank")
+def ranked(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """df with part, a range of the order of length and a hash, and own, a row's number among those of its length in its part."""
+
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, seen = TaskContext.get().partitionId(), -1, 0
+        for batch in batches:
+            lengths = np.asarray(batch.column("length"))
+            if not len(lengths):
+                continue
+            begins = np.flatnonzero(np.diff(lengths, prepend=-1))
+            own = np.arange(len(lengths)) - np.repeat(begins, np.diff([*begins, len(lengths)]))
+            head = begins[1] if len(begins) > 1 else len(lengths)
+            if lengths[0] == last:
+                own[:head] += seen
+            last, seen = int(lengths[-1]), int(own[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(np.full(len(lengths), part), pa.int64()), pa.array(own, pa.int64())], [*names, "part", "own"])
+
+    keys = [F.col("length"), F.xxhash64(*order), *map(F.col, order)]
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in df.columns)
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"{kinds}, part long, own long")
 
 
 def packed(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """pieces() with sequence_id and offset."""
     cut = stored(pieces(df, tokenizer, id_col, text_col, capacity, with_ids), "pieces")
-    counts = np.zeros(capacity + 1, np.int64)
-    for row in cut.groupBy("length").count().collect():  # at most capacity rows
-        counts[row["length"]] = row["count"]
-    parts = int(1 + counts.max(initial=0) // PART_ROWS * 4)
-    return placed(ranked(cut, (id_col, "piece", "ids_crc32"), parts), configurations(counts, capacity))
+    own = stored(ranked(cut, (id_col, "piece", "ids_crc32")), "ranked")
+    counts, firsts = np.zeros(capacity + 1, np.int64), []
+    for row in own.groupBy("part", "length").count().orderBy("part", "length").collect():  # ranges meet at an edge, so at most their number and capacity rows
+        firsts.append((row["part"], row["length"], int(counts[row["length"]])))
+        counts[row["length"]] += row["count"]
+    return placed(own, firsts, configurations(counts, capacity))

@@ -45,9 +45,10 @@ def test_packing_query(spark):
     assert check_packing(rows) <= -(-sum(x[3] for x in plain) // 4096) + 1
 
 
-@pytest.mark.parametrize("part_rows", [packing.PART_ROWS, 1])
-def test_packing_edges(spark, monkeypatch, part_rows):
-    monkeypatch.setattr(packing, "PART_ROWS", part_rows)
+@pytest.mark.parametrize("parts", [1, 7])
+def test_packing_edges(spark, monkeypatch, parts):
+    spread = packing.ranked
+    monkeypatch.setattr(packing, "ranked", lambda df, order: spread(df.repartition(parts), order))
     texts = [None, "", " \n\t ", "it's 10,000 o'clock…  x y", "<|endoftext|> a<|startoftext|>b", "ΣΑΣ İI ﬁ é ́x", "word " * 9000, "Don't, (stop). A.B", "a" * 5000, "a" * 5000, "日本語 テキスト", "\x1c\x85x\x0by"]
     docs = [(i, t) for i, t in enumerate(texts)] + [(8, "a" * 5000)]
     df = spark.createDataFrame([(a, b, 1, 2) for a, b in docs], "doc_id long, text string, rank int, part int")
@@ -73,6 +74,39 @@ def test_plan_covers_all():
         assert used <= {"one": 500, "two": 500}.get(shape, least * 1.03 + 1)
 
 
+def test_program_beats_best_fit():
+    n = 60  # six kinds of ninety-nine in a hundred; best fit pairs them badly
+    counts = np.zeros(4097, np.int64)
+    counts[[2069, 1096, 1055, 932]] = [6 * n, 6 * n, 6 * n, 12 * n]
+    program, groups, need = packing.linear_program(counts)
+    assert sorted(map(tuple, groups)) == [(932,), (1055,), (1096,), (2069,)]
+    assert np.isclose(program.bound, 9 * n) and 9 * n <= program.value * (1 + 1e-9) <= 9 * n * (1 + packing.GAP) * (1 + 2e-9)
+    assert sum(uses for _, uses in packing.configurations(counts)) == 9 * n
+    assert sum(uses for _, uses in packing.best_fit([], counts, 4096)) == 11 * n
+
+
+def test_program_value_bound_and_rounding():
+    rng = np.random.default_rng(6)
+    for _ in range(3):
+        counts = np.zeros(4097, np.int64)
+        counts[rng.integers(400, 3000, 40)] = rng.integers(20, 300, 40)
+        program, groups, need = packing.linear_program(counts)
+        covered = np.zeros(len(groups))
+        for config, fraction in program.use.items():
+            assert sum(groups[i][0] * c for i, c in config) <= 4096
+            for i, c in config:
+                covered[i] += c * fraction
+        assert (covered >= need * (1 - 1e-9)).all()
+        assert program.bound <= program.value * (1 + 1e-9) <= program.bound * 1.05
+        assert program.bound >= sum(groups[i][0] * n for i, n in enumerate(need)) / 4096 * (1 - 1e-9)
+        used = np.zeros(len(groups), int)
+        for config, uses in program.rounded(need):
+            for i, c in config:
+                used[i] += c * uses
+        assert (used <= need).all() and used.sum() >= 0.9 * need.sum()
+        assert sum(u for _, u in packing.configurations(counts)) <= program.value + len(groups)
+
+
 def test_knapsack_is_best():
     rng = np.random.default_rng(5)
     for _ in range(30):
