@@ -1,29 +1,31 @@
 """A hidden Markov language model, trained by Baum-Welch over all training texts, and a unigram base.
 
-Counts of all training tokens are summed in the shuffle; nothing is left out of them. The words of 4
-occurrences or more are sent to the tasks with their counts; those of all others come from
-a join. All of these words, so more in a larger corpus, are symbols of the model, all other words its one rare symbol. So a
-text's probability is exact: that of its symbols, by the scaled forward recursion over the latent
-states, times that of each rare word among the rare, by their counts. A rare word occurs seldom by its definition, so the join has no hot key
-but a word that training never saw.
+Counts of all training tokens are summed in the shuffle; nothing is left out of them. At most ``HEAD_WORDS`` words, the
+commonest of 4 occurrences or more, are symbols of their own. Every other word, met in training or not, is told by its last bytes as one of ``ENDINGS``
+symbols, and within its symbol by its own exact count, which comes from a join on the word. So a text's probability is exact: that of
+its symbols, by the scaled forward recursion over the latent states, times that of each word within its ending. What the
+driver and the tasks hold has a fixed bound, whatever the corpus; the counts, which grow with it, stay a table. A word that
+isn't among the commonest occurs seldom, so the join has no hot key but a word that training never saw.
 
 Texts are coded once and stored. A round of Baum-Welch runs forward and backward over many texts at
-a time and sends the expected counts of the symbols it met, by blocks of the vocabulary, to be summed, in two steps, so no
-task gets more than a share of them; each round's shuffle is dropped before the next. In training, texts of over ``CHUNK`` tokens are cut into
-sequences of that length; in scoring they are not: each further chunk runs once from every state,
-which gives the chunk's transfer matrix, and the chunks are multiplied in order.
+a time, sums the expected counts in each task and sends those that aren't nothing, by blocks of the vocabulary, to be summed in two
+steps, so no task gets more than a share of them; each round's shuffle is dropped before the next. Texts
+of over ``CHUNK`` tokens are worked on in chunks, in training and in scoring, without being cut: each
+chunk runs once from every state, which gives its transfer matrix, and the matrices, multiplied in order from both ends,
+give the exact state probabilities at every border.
 
 The rounds start from a model fitted to at most ``SAMPLE_DOCS`` training texts; it only breaks the
 symmetry of the states, as each full round takes its expected counts from the whole corpus.
 
-Defined results: null and empty texts are the end token alone; without training texts all
+Defined results: null and empty texts are the end token alone; very long texts are read whole, in memory that grows with their ids alone; without training texts all
 probabilities are those of an empty count; rows with a null id are scored, not learned from and not
-held out; repeated rows give repeated rows; other columns are ignored.
+held out; repeated rows give repeated rows; words of equal counts are ordered by their bytes; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import gc
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -31,16 +33,18 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from karstmap.llm.common import by_batch, fold_of, slices, stored, utf8
+from karstmap.llm.common import fold_of, slices, stored, utf8
 
-STATES, ROUNDS, SAMPLE_ROUNDS, SAMPLE_DOCS, SAMPLE_BYTES = 8, 4, 25, 300, 1 << 15
-RARE_LEVEL = 2  #: words of under 4 occurrences are always rare, so the rare symbol has the weight that new words need
-HEAD_WORDS = MODEL_WORDS = None  #: no bound
-BLOCK_WORDS, CHUNK, BATCH_TOKENS, FLUSH = 8_192, 2048, 600_000, 250_000
-END, RARE = 0, 1  #: symbols; the head words follow
+STATES, ROUNDS, SAMPLE_ROUNDS, SAMPLE_DOCS = 8, 4, 25, 300
+HEAD_WORDS, ENDINGS, ENDING_BYTES = 200_000, 4096, 3
+BLOCK_WORDS, CHUNK, BATCH_TOKENS, FLUSH = 8_192, 4096, 500_000, 250_000
+RARE_LEVEL = 2  #: words of under 4 occurrences are always told by their endings, which so have the weight that new words need
+END = 0  #: the first symbol; the endings and then the head words follow
+FIRST_HEAD = ENDINGS + 1
 PRIOR = 0.05  #: share of the unigram distribution mixed into each state's
 
 
@@ -49,6 +53,17 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def ending(word: bytes) -> int:
+    """The symbol of a word that isn't among the commonest."""
+    return 1 + zlib.crc32(word[-ENDING_BYTES:]) % ENDINGS
+
+
+def ending_of(word: str) -> Column:
+    """ending() of a binary column."""
+    tail = F.when(F.octet_length(word) <= ENDING_BYTES, F.col(word)).otherwise(F.substring(word, -ENDING_BYTES, ENDING_BYTES))
+    return (1 + F.crc32(tail) % ENDINGS).cast("int")
+
+
 def counted(df: DataFrame, text_col: str = "text") -> DataFrame:
     """word and n over all texts; the empty word counts the ends."""
 
@@ -64,27 +79,45 @@ def counted(df: DataFrame, text_col: str = "text") -> DataFrame:
             for text in utf8(batch, text_col):
                 held.update(tokens(text))
                 held[b""] += 1
-            if len(held) > FLUSH:
-                yield flush()
+                if len(held) > FLUSH:
+                    yield flush()
         if held:
             yield flush()
 
     return df.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Sequences:
-    """Coded sequences, longest first, stepped through side by side."""
+class Steps:
+    """Sequences stepped through side by side: longest first, and their tokens step by step."""
 
     def __init__(self, coded: list[np.ndarray]):
         lengths = np.array([len(x) for x in coded], np.int64)
         self.order = np.argsort(-lengths, kind="stable")
         self.lengths = lengths[self.order]
-        self.flat = np.concatenate([coded[i] for i in self.order]) if coded else np.zeros(0, np.int32)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.active = np.searchsorted(-self.lengths, -np.arange(self.lengths[0] if len(coded) else 0), side="left").tolist()
-
-    def at(self, t: int) -> np.ndarray:
-        return self.flat[self.starts[: self.active[t]] + t]
+        n = int(lengths.max(initial=0))
+        self.active = np.searchsorted(-self.lengths, -np.arange(n), side="left")  # sequences longer than each step
+        self.begins = np.concatenate([[0], np.cumsum(self.active)])
+        own = np.repeat(np.arange(len(coded)), self.lengths)
+        step = np.arange(len(own)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        self.owner, self.symbols = np.empty(len(own), np.int32), np.empty(len(own), np.int32)
+        at = self.begins[step] + own
+        self.owner[at] = own
+        self.symbols[at] = np.concatenate([coded[i] for i in self.order]) if coded else 0
+        self.last = self.begins[self.lengths - 1] + np.arange(len(coded))
+
+
+def portions(sequences: list[np.ndarray], most: int) -> Iterator[list[int]]:
+    """Places of the sequences in runs of about most tokens."""
+    own: list[int] = []
+    held = 0
+    for i, x in enumerate(sequences):
+        own.append(i)
+        held += len(x)
+        if held >= most:
+            yield own
+            own, held = [], 0
+    if own:
+        yield own
 
 
 class Model:
@@ -93,78 +126,115 @@ class Model:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
 
-    def forward(self, s: Sequences, begin: np.ndarray | None = None, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Final state probabilities and natural log likelihoods, in s's order; begin: states before the first step, else the start applies."""
-        n = len(s.lengths)
-        final, logp = np.zeros((n, len(self.start))), np.zeros(n)
-        a = np.zeros((0, 0))
-        for t, live in enumerate(s.active):
+    def forward(self, s: Steps, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scaled state probabilities and scales of all tokens of s, and their emissions; before: state probabilities ahead of each sequence's first token."""
+        emitted = self.emit[s.symbols]
+        a, scale = np.empty_like(emitted), np.empty(len(emitted), emitted.dtype)
+        ones, begins = np.ones(emitted.shape[1], emitted.dtype), s.begins.tolist()
+        for t, live in enumerate(s.active.tolist()):
+            own = a[begins[t] : begins[t + 1]]
             if t:
-                final[live : len(a)] = a[live:]
-                a = a[:live] @ self.move
+                np.dot(a[begins[t - 1] : begins[t - 1] + live], self.move, out=own)
             else:
-                a = np.tile(self.start, (live, 1)) if begin is None else begin[s.order] @ self.move
-            a = a * self.emit[s.at(t)]
-            scale = a.sum(axis=1)
-            a /= scale[:, None]
-            logp[:live] += np.log(scale)
-            if keep is not None:
-                keep.append((a, scale))
-        final[: len(a)] = a
-        return final, logp
-
-    def expected(self, coded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of first states, moves and (symbol, state) pairs, the last as V x K."""
-        s, keep = Sequences(coded), []
-        self.forward(s, keep=keep)
+                own[:] = before[s.order]
+            own *= emitted[begins[t] : begins[t + 1]]
+            total = own.dot(ones)
+            own /= total[:, None]
+            scale[begins[t] : begins[t + 1]] = total
+        return a, scale, emitted
+
+    def transfers(self, chunks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For each chunk the states at its end from each state ahead of its first move, rows that sum to 1, and the log of what they were scaled by."""
         k = len(self.start)
-        moves, gammas, symbols = np.zeros((k, k)), [], []
-        b = np.zeros((0, k))
-        for t in range(len(s.active) - 1, -1, -1):
-            a, scale = keep[t]
-            live = s.active[t]
-            if len(b) < live:
-                b = np.concatenate([b, np.ones((live - len(b), k))])
-            gamma = a * b
-            gamma /= gamma.sum(axis=1, keepdims=True)
-            gammas.append(gamma)
-            symbols.append(s.at(t))
-            if t:
-                after = self.emit[symbols[-1]] * b / scale[:, None]
-                moves += keep[t - 1][0][:live].T @ after
-                b = after @ self.move.T
-        symbol, gamma = np.concatenate(symbols), np.concatenate(gammas)
-        emitted = np.stack([np.bincount(symbol, gamma[:, i], len(self.emit)) for i in range(k)], axis=1)
-        return gammas[-1].sum(axis=0), moves * self.move, emitted
-
-    def met(self, coded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """expected() with the symbols that occur, and rows of these alone."""
-        symbols, at = np.unique(np.concatenate(coded), return_inverse=True)
-        own = Model(self.start, self.move, self.emit[symbols].astype(float))
-        first, moves, emitted = own.expected(np.split(at.astype(np.int32), np.cumsum([len(x) for x in coded])[:-1]))
-        return first, moves, symbols, emitted
-
-    def logp(self, coded: list[np.ndarray], chunk: int = CHUNK) -> np.ndarray:
-        """Natural log likelihood of each sequence, however long."""
+        matrix, logs = np.zeros((len(chunks), k, k)), np.zeros((len(chunks), k))
+        for some in portions(chunks, BATCH_TOKENS // k):
+            s = Steps([chunks[i] for i in some for _ in range(k)])
+            a, scale, _ = self.forward(s, np.tile(self.move, (len(some), 1)))
+            ends, sums = np.empty((len(s.order), k)), np.empty(len(s.order))
+            ends[s.order] = a[s.last]
+            sums[s.order] = np.bincount(s.owner, np.log(scale.astype(float)), len(s.order))
+            matrix[some], logs[some] = ends.reshape(len(some), k, k), sums.reshape(len(some), k)
+        return matrix, logs
+
+    def borders(self, coded: list[np.ndarray], chunk: int = CHUNK) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All sequences in chunks: these, whose they are, the states at the end of the chunk before, the backward weights at each one's end, and the log likelihood of the later chunks of each sequence given the first."""
         k = len(self.start)
-        first = Sequences([x[:chunk] for x in coded])
-        final, logp = self.forward(first)
-        state, out = np.zeros((len(coded), k)), np.zeros(len(coded))
-        state[first.order], out[first.order] = final, logp
-        rest = [(i, x[c : c + chunk]) for i, x in enumerate(coded) for c in range(chunk, len(x), chunk)]
-        step = max(1, BATCH_TOKENS // (chunk * k))
-        for at in range(0, len(rest), step):
-            part = rest[at : at + step]
-            s = Sequences([x for _, x in part for _ in range(k)])
-            final, logp = self.forward(s, begin=np.tile(np.eye(k), (len(part), 1)))
-            matrix, scale = np.zeros_like(final), np.zeros_like(logp)
-            matrix[s.order], scale[s.order] = final, logp
-            for j, (i, _) in enumerate(part):
-                own, top = scale[j * k : j * k + k], scale[j * k : j * k + k].max()
-                state[i] = (state[i] * np.exp(own - top)) @ matrix[j * k : j * k + k]
+        pieces = [(i, x[c : c + chunk]) for i, x in enumerate(coded) for c in range(0, len(x), chunk)]
+        owner = np.array([i for i, _ in pieces], np.int64)
+        before, after, more = np.zeros((len(pieces), k)), np.ones((len(pieces), k)), np.zeros(len(coded))
+        later = np.flatnonzero(np.diff(owner, prepend=-1) == 0)
+        if len(later):
+            place = np.full(len(pieces), -1)
+            place[later] = np.arange(len(later))
+            matrix, logs = self.transfers([pieces[i][1] for i in later])
+            heads = np.setdiff1d(later - 1, later)
+            state = np.zeros((len(pieces), k))
+            for some in portions([pieces[i][1] for i in heads], BATCH_TOKENS):
+                s = Steps([pieces[heads[i]][1] for i in some])
+                a, _, _ = self.forward(s, np.tile(self.start, (len(some), 1)))
+                ends = np.empty((len(some), k))
+                ends[s.order] = a[s.last]
+                state[heads[some]] = ends
+            for i in later.tolist():
+                own, top = logs[place[i]], logs[place[i]].max()
+                before[i] = state[i - 1]
+                state[i] = (state[i - 1] * np.exp(own - top)) @ matrix[place[i]]
                 total = state[i].sum()
                 state[i] /= total
-                out[i] += top + np.log(total)
+                more[owner[i]] += top + np.log(total)
+            for i in later[::-1].tolist():
+                weight = np.exp(logs[place[i]] - logs[place[i]].max()) * (matrix[place[i]] @ after[i])
+                after[i - 1] = weight / weight.max()
+        return [x for _, x in pieces], owner, before, after, more
+
+    def ahead(self, before: np.ndarray, is_start: np.ndarray) -> np.ndarray:
+        """State probabilities ahead of the first tokens of chunks."""
+        return np.where(is_start[:, None], self.start, before @ self.move)
+
+    def expected(self, coded: list[np.ndarray], chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts of first states, moves and (symbol, state) pairs, the last as V x K; sequences mustn't be empty."""
+        k, kind = len(self.start), self.emit.dtype
+        pieces, owner, before, after, _ = self.borders(coded, chunk)
+        is_start = np.diff(owner, prepend=-1) > 0
+        first, moves, counts = np.zeros(k), np.zeros((k, k)), np.zeros(self.emit.shape)
+        ones = np.ones(k, kind)
+        for some in portions(pieces, BATCH_TOKENS):
+            s = Steps([pieces[i] for i in some])
+            a, scale, emitted = self.forward(s, self.ahead(before[some], is_start[some]))
+            emitted /= scale[:, None]
+            b = np.ones_like(a)
+            ends = after[some][s.order].astype(kind)
+            b[s.last] = ends / np.einsum("ij,ij->i", a[s.last], ends)[:, None]
+            begins = s.begins.tolist()
+            for t in range(len(s.active) - 1, 0, -1):
+                live = begins[t + 1] - begins[t]
+                own = emitted[begins[t] : begins[t + 1]]
+                own *= b[begins[t] : begins[t + 1]]
+                np.dot(own, self.move.T, out=b[begins[t - 1] : begins[t - 1] + live])
+            later = np.arange(begins[1], begins[-1])
+            if len(later):  # a token's place at the step before
+                step = np.repeat(np.arange(1, len(s.active)), s.active[1:])
+                moves += (a[later - s.begins[step] + s.begins[step - 1]].T @ emitted[later]).astype(float)
+            gamma = a
+            gamma *= b
+            gamma /= gamma.dot(ones)[:, None]
+            for i in range(k):
+                counts[:, i] += np.bincount(s.symbols, gamma[:, i], len(self.emit))
+            own = is_start[some][s.order]
+            first += gamma[: begins[1]][own].sum(axis=0)
+            moves += (before[some][s.order][~own].T @ (emitted[: begins[1]] * b[: begins[1]])[~own]).astype(float)
+        return first, moves * self.move, counts
+
+    def logp(self, coded: list[np.ndarray], chunk: int = CHUNK) -> np.ndarray:
+        """Natural log likelihood of each sequence, however long."""
+        pieces, owner, _, _, out = self.borders(coded, chunk)
+        heads = np.flatnonzero(np.diff(owner, prepend=-1))
+        for some in portions([pieces[i] for i in heads], BATCH_TOKENS):
+            s = Steps([pieces[heads[i]] for i in some])
+            _, scale, _ = self.forward(s, np.tile(self.start, (len(some), 1)))
+            sums = np.empty(len(some))
+            sums[s.order] = np.bincount(s.owner, np.log(scale), len(some))
+            out[owner[heads[some]]] += sums
         return out
 
 
@@ -191,15 +261,6 @@ def seeded(coded: list[np.ndarray], unigram: np.ndarray, states: int) -> Model:
     return Model(model.start, model.move, emit)
 
 
-def pieces(coded: list[np.ndarray]) -> list[np.ndarray]:
-    return [x[c : c + CHUNK] for x in coded for c in range(0, len(x), CHUNK)]
-
-
-def symbols_of(ids: np.ndarray, symbols: int) -> np.ndarray:
-    """Head words that aren't the model's become its rare symbol."""
-    return np.where(ids < symbols, ids, RARE)
-
-
 def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """Rows gathered until they hold BATCH_TOKENS tokens."""
     rows: list[dict] = []
@@ -245,80 +306,86 @@ def _added(df: DataFrame, by: tuple[str, ...], size: int, states: int) -> DataFr
 
 
 class Trained:
-    """Counts, head words and model of a training set."""
+    """What a training set gives: all counts (a table), how many tokens and distinct ones, the head words and, by symbol, occurrences and distinct words."""
 
-    def __init__(self, counts: DataFrame, total: int, distinct: int, words: list[bytes], head: np.ndarray, model_words: int | None):
-        self.counts, self.total, self.distinct, self.words, self.head = counts, total, distinct, words, head
-        own = head if model_words is None else head[: model_words + 2]
-        self.symbols = len(own)
-        self.rare_total, self.rare_distinct = total - int(own.sum()), distinct - int((own > 0).sum())
+    def __init__(self, counts: DataFrame, words: list[bytes], held: np.ndarray, distinct: np.ndarray):
+        self.counts, self.words, self.held = counts, words, held
+        self.total, self.distinct, self.symbols = int(held.sum()), int(distinct.sum()), len(held)
+        within = np.log10(held[1:FIRST_HEAD] + 0.5 * (distinct[1:FIRST_HEAD] + 1))
+        self.within = np.concatenate([[0.0], within, np.zeros(len(words))])  #: log10 of what shares of a word within its ending's symbol are of
 
 
-def learned_counts(train: DataFrame, text_col: str = "text", head_words: int | None = HEAD_WORDS, model_words: int | None = MODEL_WORDS) -> Trained:
-    """All counts, and the head: the words of the smallest power of two of occurrences, 4 or more, that at most head_words words (None: any number) reach."""
+def learned_counts(train: DataFrame, text_col: str = "text", head_words: int = HEAD_WORDS) -> Trained:
+    """All counts, and the head: the words of the smallest power of two of occurrences, 4 or more, that at most head_words words reach."""
     counts = stored(counted(train, text_col), "counts")
     words = counts.where(F.length("word") > 0)
     level = F.floor(F.log2(F.col("n").cast("double")) + 1e-9).cast("int").alias("level")
-    levels = {r["level"]: (r["words"], r["n"]) for r in words.groupBy(level).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()}
+    levels = {r["level"]: r["words"] for r in words.groupBy(level).agg(F.count("*").alias("words")).collect()}
     ends = counts.where(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0
-    least, held = 64, 0
-    while least > RARE_LEVEL and (head_words is None or held + levels.get(least - 1, (0, 0))[0] <= head_words):
+    least, reached = 64, 0
+    while least > RARE_LEVEL and reached + levels.get(least - 1, 0) <= head_words:
         least -= 1
-        held += levels.get(least, (0, 0))[0]
-    head = words.where(level >= least).orderBy(F.desc("n"), "word").toArrow()  # at most head_words rows, or the words of 4 or more
-    n = sum(x[1] for x in levels.values()) + ends
-    distinct = sum(x[0] for x in levels.values()) + (ends > 0)
-    own = np.asarray(head.column("n"), np.int64) if len(head) else np.zeros(0, np.int64)
-    return Trained(counts, n, distinct, head.column("word").to_pylist(), np.concatenate([[ends, 0], own]).astype(np.int64), model_words)
+        reached += levels.get(least, 0)
+    head = words.where(level >= least).orderBy(F.desc("n"), "word").toArrow()  # at most head_words rows
+    held, distinct = np.zeros(FIRST_HEAD + len(head), np.int64), np.ones(FIRST_HEAD + len(head), np.int64)
+    held[0], distinct[0], distinct[1:FIRST_HEAD] = ends, ends > 0, 0
+    for r in words.where(level < least).groupBy(ending_of("word").alias("symbol")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():  # at most ENDINGS rows
+        held[r["symbol"]], distinct[r["symbol"]] = r["n"], r["words"]
+    if len(head):
+        held[FIRST_HEAD:] = np.asarray(head.column("n"), np.int64)
+    return Trained(counts, head.column("word").to_pylist() if len(head) else [], held, distinct)
 
 
 def coded(df: DataFrame, words: list[bytes], id_col: str = "doc_id", text_col: str = "text", train_col: str = "train") -> DataFrame:
-    """row (a number of its own), id_col, train_col, ids (symbols as 32-bit binary) and rare (the rare words)."""
+    """row (a number of its own), id_col, train_col, ids (symbols as 32-bit binary), rare (the distinct words that aren't head words) and times (how often each occurs)."""
     shared = df.sparkSession.sparkContext.broadcast(words)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: i for i, w in enumerate(shared.value, 2)}.get
+        place = {w: i for i, w in enumerate(shared.value, FIRST_HEAD)}.get
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches):
-            ids, rare = [], []
+            ids, rare, times = [], [], []
             for text in utf8(batch, text_col):
                 own = tokens(text)
-                symbols = np.fromiter(map(place, own, repeat(RARE)), np.int32, len(own))
-                rare.append([own[i] for i in np.flatnonzero(symbols == RARE)])
+                symbols = np.fromiter(map(place, own, repeat(-1)), np.int32, len(own))
+                others = [own[i] for i in np.flatnonzero(symbols < 0).tolist()]
+                symbols[symbols < 0] = [ending(w) for w in others]
+                few = Counter(others)
+                rare.append(list(few))
+                times.append(list(few.values()))
                 ids.append(symbols.tobytes() + END.to_bytes(4, "little"))
             rows = pa.array(range(row, row + batch.num_rows), pa.int64())
             row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([rows, batch.column(id_col), batch.column(train_col), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], ["row", id_col, train_col, "ids", "rare"])
+            columns = [rows, batch.column(id_col), batch.column(train_col), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", id_col, train_col, "ids", "rare", "times"])
 
-    return df.select(id_col, text_col, train_col).mapInArrow(run, f"row long, `{id_col}` {kind}, `{train_col}` boolean, ids binary, rare array<binary>")
+    return df.select(id_col, text_col, train_col).mapInArrow(run, f"row long, `{id_col}` {kind}, `{train_col}` boolean, ids binary, rare array<binary>, times array<int>")
 
 
 def baum_welch(rows: DataFrame, trained: Trained, train_col: str = "train", states: int = STATES, rounds: int = ROUNDS) -> Model:
     """rounds of expected counts over all training rows, each summed over the partitions by blocks of the vocabulary."""
     spark = rows.sparkSession
-    share = trained.head[: trained.symbols].astype(float)
-    share[RARE] = trained.rare_total
-    unigram = (share + 0.5) / (share + 0.5).sum()
+    unigram = (trained.held + 0.5) / (trained.held + 0.5).sum()
     train = rows.where(F.col(train_col))
-    few = train.where(F.octet_length("ids") <= SAMPLE_BYTES).select("row").orderBy(F.xxhash64("row"), "row").limit(SAMPLE_DOCS)
+    few = train.select("row").orderBy(F.xxhash64("row"), "row").limit(SAMPLE_DOCS)
     sample = train.join(F.broadcast(few), "row").select("ids").toArrow()  # at most SAMPLE_DOCS rows
     size = trained.symbols
-    model = seeded(pieces([symbols_of(np.frombuffer(x, np.int32), size) for x in sample.column("ids").to_pylist()]), unigram, states)
+    model = seeded([np.frombuffer(x, np.int32) for x in sample.column("ids").to_pylist()], unigram, states)
     blocks = -(-size // BLOCK_WORDS)
-    spread = max(1, round(rows.rdd.getNumPartitions() ** 0.5))
+    spread = max(1, round(train.rdd.getNumPartitions() ** 0.5))
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((model.start, model.move, model.emit.astype(np.float32)))
+        shared = spark.sparkContext.broadcast([x.astype(np.float32) for x in (model.start, model.move, model.emit)])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = Model(*shared.value)
             k = len(own.start)
             edge, emitted = np.zeros((k + 1, k)), np.zeros((size, k))
             for part in batches_of(batches):
-                first, moves, symbols, counts = own.met(pieces([symbols_of(r["ids"], size) for r in part]))
+                first, moves, counts = own.expected([r["ids"] for r in part])
                 edge[0] += first
                 edge[1:] += moves
-                emitted[symbols] += counts
+                emitted += counts
             if edge.any():
                 part = TaskContext.get().partitionId() % spread
                 yield _batch([_sparse(edge, -1, part), *(_sparse(emitted[b * BLOCK_WORDS : (b + 1) * BLOCK_WORDS], b, part) for b in range(blocks))])
@@ -342,31 +409,27 @@ def baum_welch(rows: DataFrame, trained: Trained, train_col: str = "train", stat
 def scored(rows: DataFrame, trained: Trained, model: Model, id_col: str = "doc_id", train_col: str = "train") -> DataFrame:
     """id_col, train_col, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = rows.sparkSession
-    kind, symbols = rows.schema[id_col].dataType.simpleString(), trained.symbols
-    shared = spark.sparkContext.broadcast((model.start, model.move, model.emit.astype(np.float32), np.log10(trained.head + 0.5), trained.head > 0))
+    kind, id_type = rows.schema[id_col].dataType.simpleString(), to_arrow_type(rows.schema[id_col].dataType)
+    own_word = np.arange(trained.symbols) >= FIRST_HEAD
+    own_word[END] = True
+    logs = np.where(own_word, np.log10(trained.held + 0.5), 0.0)
+    shared = spark.sparkContext.broadcast((model.start, model.move, model.emit.astype(np.float32), logs, own_word & (trained.held > 0), trained.within))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, move, emit, logs, known = shared.value
-        own = Model(start, move, emit)
-        logs = logs.copy()
-        logs[RARE], known = 0, known & (np.arange(len(known)) != RARE)
+        start, move, emit, logs, known, within = shared.value
+        own = Model(start, move, emit.astype(float))
         for part in batches_of(batches):
             ids = [r["ids"] for r in part]
-            coded_ = [symbols_of(x, symbols) for x in ids]
-            hmm = own.logp(coded_) / np.log(10) + np.array([logs[x[x >= symbols]].sum() for x in ids])
+            hmm = own.logp(ids) / np.log(10) - np.array([within[x].sum() for x in ids])
             columns = [pa.array([r["row"] for r in part], pa.int64()), pa.array([r[id_col] for r in part], id_type), pa.array([r[train_col] for r in part], pa.bool_())]
-            columns += [pa.array([f(x) for x in ids], t) for f, t in ((len, pa.int64()), (lambda x: int(known[x].sum()), pa.int64()), (lambda x: int((symbols_of(x, symbols) == RARE).sum()), pa.int64()), (lambda x: float(logs[x].sum()), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(hmm, pa.float64())], ["row", id_col, train_col, "n_tokens", "known", "n_rare", "head_log", "hmm"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
+            columns += [pa.array([f(x) for x in ids], t) for f, t in ((len, pa.int64()), (lambda x: int(known[x].sum()), pa.int64()), (lambda x: float(logs[x].sum()), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(hmm, pa.float64())], ["row", id_col, train_col, "n_tokens", "known", "head_log", "hmm"])
 
-    id_type = to_arrow_type(rows.schema[id_col].dataType)
-    own = rows.select("row", id_col, train_col, "ids").mapInArrow(run, f"row long, `{id_col}` {kind}, `{train_col}` boolean, n_tokens long, known long, n_rare long, head_log double, hmm double")
-    rare = rows.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
+    own = rows.select("row", id_col, train_col, "ids").mapInArrow(run, f"row long, `{id_col}` {kind}, `{train_col}` boolean, n_tokens long, known long, head_log double, hmm double")
+    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
     met = rare.join(trained.counts.where(F.length("word") > 0), "word", "left")
     sums = met.groupBy("row").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_log"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("rare_known"))
     all_log = float(np.log10(trained.total + 0.5 * (trained.distinct + 1)))
-    rare_log = float(np.log10(trained.rare_total + 0.5 * (trained.rare_distinct + 1)))
     of_rare = F.coalesce("rare_log", F.lit(0.0))
     return own.join(sums, "row", "left").select(
         id_col,
@@ -375,15 +438,15 @@ def scored(rows: DataFrame, trained: Trained, model: Model, id_col: str = "doc_i
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(trained.total).cast("long").alias("train_tokens"),
         (F.col("head_log") + of_rare - F.col("n_tokens") * all_log).alias("base_score"),
-        (F.col("hmm") + of_rare - F.col("n_rare") * rare_log).alias("score"),
+        (F.col("hmm") + of_rare).alias("score"),
     )
 
 
-def language_model_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, states: int = STATES, rounds: int = ROUNDS, head_words: int | None = HEAD_WORDS, model_words: int | None = MODEL_WORDS) -> DataFrame:
+def language_model_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, states: int = STATES, rounds: int = ROUNDS, head_words: int = HEAD_WORDS) -> DataFrame:
     """scored() of every text, learning from those outside the held fold."""
     train = F.coalesce(fold_of(id_col, folds) != held, F.lit(False))
     docs = df.select(F.col(id_col), F.col(text_col), train.alias("__train"))
-    trained = learned_counts(docs.where("__train"), text_col, head_words, model_words)
+    trained = learned_counts(docs.where("__train"), text_col, head_words)
     rows = stored(coded(docs, trained.words, id_col, text_col, "__train"), "coded")
     model = baum_welch(rows, trained, "__train", states, rounds)
     return scored(rows, trained, model, id_col, "__train")

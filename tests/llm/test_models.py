@@ -21,10 +21,10 @@ def plain_base(docs, held=1):
     return [(k, len(cut(t)), sum(counts[w] > 0 for w in cut(t)), n, sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in cut(t))) for k, t in docs]
 
 
-@pytest.mark.parametrize(("head", "symbols"), [(lmscore.HEAD_WORDS, 500), (50, 20)])
-def test_base_scores(spark, head, symbols):
+@pytest.mark.parametrize("head", [lmscore.HEAD_WORDS, 50, 0])
+def test_base_scores(spark, head):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    rows = lmscore.language_model_scores(spark.read.parquet(f"{SF}/documents.parquet"), head_words=head, model_words=symbols, rounds=1).collect()
+    rows = lmscore.language_model_scores(spark.read.parquet(f"{SF}/documents.parquet"), head_words=head, rounds=1).collect()
     got = {r.doc_id: r for r in rows}
     for k, n, known, total, base in plain_base(docs):
         r = got[k]
@@ -132,14 +132,80 @@ def test_toxicity_keeps_the_prior_under_caps(spark):
     assert abs(mean(5000) - 0.1) < 0.02 and abs(mean(150) - 0.1) < 0.03
 
 
-def test_symbols_grow_with_the_corpus(spark):
+def test_model_is_whole(spark):
     df = spark.range(40_000).selectExpr("concat_ws(' ', array_repeat(concat('w', id), 4)) AS text")
-    assert lmscore.learned_counts(df).symbols == 40_000 + 2 and (lmscore.STATES, lmscore.ROUNDS) == (8, 4)
-
-
-def test_met_is_expected():
+    trained = lmscore.learned_counts(df)
+    assert trained.symbols == lmscore.FIRST_HEAD + 40_000 and (lmscore.STATES, lmscore.ROUNDS, lmscore.HEAD_WORDS) == (8, 4, 200_000)
+    few = lmscore.learned_counts(df, head_words=39_999)  # all have one count, so all are told by their endings
+    assert few.symbols == lmscore.FIRST_HEAD and few.total == trained.total == 200_000 and few.distinct == 40_001
+    words = [r.word for r in few.counts.collect() if r.word]
+    by = Counter(lmscore.ending(bytes(w)) for w in words)
+    assert all(few.held[s] == 4 * n for s, n in by.items())
+    odd = spark.createDataFrame([(b"a",), (b"ab",), (b"abc",), ("é€x".encode(),), (b"long words",)], "word binary")
+    assert all(r.s == lmscore.ending(bytes(r.word)) for r in odd.select("word", lmscore.ending_of("word").alias("s")).collect())
+
+
+def test_scores_equal_a_plain_model(spark, monkeypatch):
+    """The query's score, from the counts and the trained model, by a recursion over plain numbers; the model by plain Baum-Welch from the same start."""
+    seen = {}
+    whole = lmscore.seeded
+    monkeypatch.setattr(lmscore, "seeded", lambda *a: seen.setdefault("model", whole(*a)))
+    docs = [(i, t) for i, t in enumerate(["a b a c", "b a b", "", None, "c c d a b", "a b", "e f a a b", "rare one", "a b", "d a"])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = lmscore.language_model_scores(df, states=2, rounds=2, head_words=2).collect()
+    train = [t for k, t in docs if zlib.crc32(str(k).encode()) % 5 != 1]
+    counts = Counter(w for t in train for w in (t or "").encode().split())
+    top = sorted(counts, key=lambda w: (-counts[w], w))
+    head = next(top[:n] for n in (2, 1, 0) if all(counts[w] >= 4 for w in top[:n]) and len({math.floor(math.log2(counts[w])) for w in top[:n]} & {math.floor(math.log2(counts[w])) for w in top[n:]}) == 0)
+    place = {w: lmscore.FIRST_HEAD + i for i, w in enumerate(head)}
+    code = lambda t: [place.get(w) or lmscore.ending(w) for w in (t or "").encode().split()] + [0]
+    held, kinds = Counter(s for t in train for s in code(t)), Counter(lmscore.ending(w) for w in counts if w not in place)
+    model = seen["model"]
+    unigram = np.array([held[s] + 0.5 for s in range(lmscore.FIRST_HEAD + len(head))])
+    unigram /= unigram.sum()
+    for _ in range(2):
+        model = lmscore.fitted(*plain_expected(model, [code(t) for t in train]), unigram)
+    for r, (k, t) in zip(sorted(rows), docs, strict=True):
+        p = plain_forward(model, code(t))
+        for w in (t or "").encode().split():
+            if w not in place:
+                p *= (counts[w] + 0.5) / (held[lmscore.ending(w)] + 0.5 * (kinds[lmscore.ending(w)] + 1))
+        assert r.doc_id == k and math.isclose(r.score, math.log10(p), rel_tol=1e-5)
+
+
+def plain_forward(m, x):
+    a = m.start * m.emit[x[0]]
+    for s in x[1:]:
+        a = (a @ m.move) * m.emit[s]
+    return a.sum()
+
+
+def plain_expected(m, coded):
+    k = len(m.start)
+    first, moves, emitted = np.zeros(k), np.zeros((k, k)), np.zeros(m.emit.shape)
+    for x in coded:
+        a = [m.start * m.emit[x[0]]]
+        for s in x[1:]:
+            a.append((a[-1] @ m.move) * m.emit[s])
+        b = [np.ones(k)]
+        for s in reversed(x[1:]):
+            b.append(m.move @ (m.emit[s] * b[-1]))
+        b.reverse()
+        total = a[-1].sum()
+        first += a[0] * b[0] / total
+        for t, s in enumerate(x):
+            emitted[s] += a[t] * b[t] / total
+            if t:
+                moves += np.outer(a[t - 1], m.emit[s] * b[t]) * m.move / total
+    return first, moves, emitted
+
+
+def test_chunks_change_nothing():
     m, draw = model(v=50), np.random.default_rng(12)
-    coded = [draw.choice([3, 7, 40], n).astype(np.int32) for n in (4, 1, 9)]
-    first, moves, symbols, counts = m.met(coded)
-    whole = m.expected(coded)
-    assert np.allclose(first, whole[0]) and np.allclose(moves, whole[1]) and np.allclose(counts, whole[2][symbols]) and np.isclose(counts.sum(), 14)
+    coded = [draw.integers(0, 50, n).astype(np.int32) for n in (4, 1, 9, 120, 17, 64, 65)]
+    whole = plain_expected(m, coded)
+    for chunk in (1, 7, 64, 1000):
+        assert all(np.allclose(a, b) for a, b in zip(m.expected(coded, chunk), whole, strict=True))
+        assert np.allclose(m.logp(coded, chunk), [math.log(plain_forward(m, x)) for x in coded])
+    single = lmscore.Model(*(x.astype(np.float32) for x in (m.start, m.move, m.emit)))
+    assert all(np.allclose(a, b, rtol=1e-3) for a, b in zip(single.expected(coded, 16), whole, strict=True))
