@@ -38,10 +38,15 @@ def test_html_query(spark):
         ("<table><tr><td>a</td><td>b</td></tr></table>", "a b"),
         ("<p>cut <b", "cut"),
         ("<div><p hidden>no</p><p>a</div>b", "a b"),
+        ("<form action=x><input><article><p>body</p><form>no</form></article></form>", "body"),
+        ("<div class='search-results-page'><article>body</article>no</div>", "body"),
+        ("<article>yes</article><section class=comments><article>no</article></section><form><article>no</article></form>", "yes"),
+        ("<div>text</div><section class=comments><article>no</article></section>", "text"),
+        ("<article><p>yes<form>no</form> on<div class=share><article>no</article></div></article>", "yes on"),
     ],
 )
 def test_blocks(page, text):
-    assert " ".join(x[0] for x in htmltext.blocks_of(page)) == text
+    assert " ".join(htmltext.stay_texts(htmltext.blocks_of(page))) == text
 
 
 def test_differencing(spark):
@@ -58,7 +63,7 @@ def test_differencing(spark):
     assert htmltext.main_text(df.limit(0)).count() == 0
 
 
-def test_common_is_longest(monkeypatch):
+def test_common_is_longest():
     draw = np.random.default_rng(11)
     for _ in range(100):
         a, b = ([str(x) for x in draw.integers(0, 4, draw.integers(0, 12))] for _ in range(2))
@@ -79,3 +84,30 @@ def test_template_goes_however_large_and_past_copies(spark):
     for size in (1000, 3, 1):
         got = {r.page_id: r.text for r in htmltext.main_text(df, range_pages=size).collect()}
         assert got == dict(enumerate(bodies))
+
+
+def test_long_repeating_pages_are_aligned():
+    draw = np.random.default_rng(13)
+    a, b = ([str(x) for x in draw.integers(0, 5, 2500)] for _ in range(2))
+    row = np.zeros(len(b) + 1, int)
+    for x in a:
+        same = np.array([x == y for y in b])
+        new = np.maximum(row[1:], np.where(same, row[:-1] + 1, 0))
+        row = np.concatenate([[0], np.maximum.accumulate(new)])
+    at = htmltext.common(a, b)
+    assert len(at) == row[-1] > 1500 and at == sorted(set(at))
+    rest = iter(b)
+    assert all(a[i] in rest for i in at)
+
+
+def test_depth_costs_nothing():
+    deep = 30_000
+    blocks = htmltext.blocks_of("<div><b>" * deep + "x" + "</b><p>y</p></div>" * deep)[0]
+    assert len(blocks) == deep + 1
+
+
+def test_differencing_deletes_lines(spark):
+    page = lambda i: f"<nav>Home</nav><p>Site line</p><div>menu</div><p>text {i}</p><p>own {i}</p><footer>all rights</footer>"
+    df = spark.createDataFrame([(i, f"http://a.org/{i}", page(i)) for i in range(5)] + [(9, "http://b.org/", page(9))], "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_lines, r.n_shared) for r in htmltext.main_text(df).collect()}
+    assert got == {**{i: (f"text {i} own {i}", 6, 4) for i in range(5)}, 9: ("Site line menu text 9 own 9", 6, 0)}
