@@ -124,6 +124,56 @@ def test_counterfactuals_cut_bias():
     assert gap(fair) < 0.2 * gap(plain) and fair.score("vile scum") > 0.5
 
 
+def test_fit_is_the_penalised_optimum():
+    """The weights against Newton's method on the same objective over a dense matrix."""
+    draw = np.random.default_rng(14)
+    words = ["muslims", "jews", "vile", "calm", "scum"]
+    texts = [" ".join(w for w, p in zip(words, (0.6, 0.3, 0.5, 0.3, 0.4) if i % 2 else (0.3, 0.6, 0.1, 0.5, 0.1), strict=True) if draw.random() < p) for i in range(300)]
+    toxic = np.arange(300) % 2
+    rows, pairs = [sorted(toxicity.text_features(t)) for t in texts], [p for t in texts for p in toxicity.counterfactuals(t)]
+    for penalty in (0.0, 1.0, 10.0):
+        got = toxicity.fit(rows, toxic, pairs, penalty, steps=6000)
+        names = sorted(got.weights)
+        x = np.array([[f in r for f in names] for r in rows], float)
+        d = np.array([[(f in a) * 1.0 - (f in b) for f in names] for a, b in pairs])
+        d = d[np.abs(d).sum(axis=1) > 0]
+        mass, w, bias = np.maximum(x.mean(axis=0), 1e-3), np.zeros(len(names)), 0.0
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-(x @ w + bias)))
+            slope = np.append(x.T @ (p - toxic) / 300 + toxicity.RIDGE * mass * w + 2 * penalty * d.T @ (d @ w) / len(d), (p - toxic).mean())
+            one = np.column_stack([x, np.ones(300)])
+            curve = one.T @ (one * (p * (1 - p))[:, None]) / 300
+            curve[:-1, :-1] += np.diag(toxicity.RIDGE * mass) + 2 * penalty * d.T @ d / len(d)
+            change = np.linalg.lstsq(curve, slope, rcond=None)[0]
+            w, bias = w - change[:-1], bias - change[-1]
+        plain = 1 / (1 + np.exp(-(x @ w + bias)))
+        assert np.allclose(plain, [got.score(t) for t in texts], atol=2e-3)
+
+
+def test_penalty_acts_on_the_corpus(spark):
+    """Neutral mentions in held-out neutral texts: swapping the group changes scores far less with the penalty than without."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.where("toxic = 0").join(docs, "doc_id").where(toxicity.fold_of("doc_id", 5) == 0).orderBy("doc_id").limit(40).collect()
+    sentences = [x for r in held for x in toxicity.SENTENCES.findall(r.text)[:2]]
+    change = {}
+    for penalty in (0.0, toxicity.PENALTY):
+        own = toxicity.trained(docs, toxicity.learnable(labels), penalty=penalty)
+        change[penalty] = np.mean([abs(own.score(f"{w} {x}") - own.score(toxicity.swapped(f"{w} {x}".lower()))) for w in toxicity.TERMS for x in sentences])
+        if penalty:
+            assert not any(own.score(f"{w} {x}") >= 0.5 for w in toxicity.TERMS for x in sentences)
+    assert 0 < change[toxicity.PENALTY] < 0.3 * change[0.0]
+
+
+def test_toxicity_reads_whole_texts(spark):
+    long = "plain words and more " * 20_000
+    docs = [(i, long + ("idiot scum" if i % 2 else "end here")) for i in range(24)] + [(50, long * 3)]
+    df = spark.createDataFrame([(a, b, 0.1, 7, "x") for a, b in docs], "doc_id long, text string, score double, predicted int, label string")
+    marks = spark.createDataFrame([(i, i % 2, "z") for i in range(24)], "doc_id long, toxic long, text string")
+    rows = toxicity.scored(df, toxicity.trained(df, marks), keep=("score", "label")).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in rows) and rows[0].label == "x" and rows[0].asDict().keys() == {"doc_id", "label", "score", "predicted"}
+    assert len(toxicity.counterfactuals("the men. " * 30)) == 31
+
+
 def test_toxicity_keeps_the_prior_under_caps(spark):
     docs = [(i, ("nice calm words" if i % 10 else "vile awful words") if i % 3 else "plain words") for i in range(2000)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
