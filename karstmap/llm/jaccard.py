@@ -18,6 +18,10 @@ No pair is lost: by the prefix rule two classes that link share one of their rar
 that links to a class of a group has at least its threshold's share of shingles in the group's union. No step emits all pairs of a group: similar classes meet in blocks of
 bounded size that return a link for each class, and components meet others by their bound.
 
+A shingle that many texts have is sent once by each task, however many of the task's classes have it.
+Ties, and which text of a group is opened first, change no result. Very long texts are read whole; blocks and buckets are bounded by
+tokens as well as by classes.
+
 Defined results: null and wordless texts have no shingles and link with nothing; a text of fewer
 words than a shingle is one shingle; repeated rows are copies; rows with a null id link with nothing
 and have a null component; other columns are ignored.
@@ -40,6 +44,9 @@ from karstmap.llm.common import slices, stored, text_bytes
 WORDS, PERCENT = 5, 75
 GROUP, SMALL, ORDERS, SLICE = 256, 64, 3, 1000
 SHARD_BYTES, SHARD_TOKENS, BUCKET_ROWS = 6_000_000, 400_000, 1000
+POST_TOKENS, POST_SETS = 1_500_000, 60_000  #: of a task's sets that are sent together
+SEVERAL = (-(1 << 63), 1 - (1 << 63))  #: stand for classes that a sending task doesn't name
+HOT_COPIES, BLOCK_TOKENS, BUCKET_TOKENS = 1000, 4_000_000, 8_000_000
 PART_BYTES, BROADCAST_ROWS, CELLS, SKETCH_BITS = 20_000_000, 200_000, 500_000, 20
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -137,25 +144,59 @@ def repeated(tokens: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndar
     return tokens[several], owner[order[several]]
 
 
+def by_part(cls: np.ndarray, n: np.ndarray, parts: int) -> list[tuple[int, bytes, bytes]]:
+    """Classes and their counts by ranges of classes."""
+    part = (cls.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    return [(p, cls[part == p].tobytes(), n[part == p].tobytes()) for p in np.unique(part).tolist()]
+
+
+def posted_once(sets: dict[int, np.ndarray], shards: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """posted() with each token at most once: those that several of the sets have are counted here, and sent without an owner, as had by several."""
+    names = np.array(list(sets), np.int64)
+    tokens, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(sets)), [len(s) for s in sets.values()])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    several = met_again(tokens)
+    n = np.bincount(owner[several], minlength=len(names)).astype(np.int64)
+    if n.any():
+        rows = by_part(names[n > 0], n[n > 0], parts)
+        yield pa.RecordBatch.from_arrays([pa.array([shards + r[0] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([b""] * len(rows), pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "tokens", "owner", "cls"])
+    single, begins = ~several, np.flatnonzero(several & np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    back = np.argsort(owner[single], kind="stable")
+    alone = np.split(tokens[single][back], np.cumsum(np.bincount(owner[single], minlength=len(names)))[:-1])
+    both = tokens[begins]
+    yield from posted([*alone, both, both], {"cls": np.concatenate([names, np.array(SEVERAL, np.int64)])}, shards)
+
+
 def shared_counts(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """cls and shared: how many shingles of the class another class has too; shards send their counts in arrays, by ranges of classes."""
     size = text_bytes(df, text_col)
     shards, parts = max(1, -(-size // SHARD_BYTES)), max(1, -(-size // PART_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        size = 0
         for batch in slices(batches, SLICE):
-            own = {class_of(s): s for s in shingle_sets(batch.column(text_col), words) if len(s)}
-            yield from posted(list(own.values()), {"cls": np.array(list(own), np.int64)}, shards)
+            for own in shingle_sets(batch.column(text_col), words):
+                if len(own) and (cls := class_of(own)) not in held:
+                    held[cls] = own
+                    size += len(own)
+                    if size >= POST_TOKENS or len(held) == POST_SETS:
+                        yield from posted_once(held, shards, parts)
+                        held, size = {}, 0
+        if held:
+            yield from posted_once(held, shards, parts)
 
     def count(group: pa.Table) -> pa.Table:
+        if (part := group.column("shard")[0].as_py() - shards) >= 0:  # a task's own counts go on as they are
+            return pa.table({"part": pa.array([part] * len(group), pa.int64()), "cls": group.column("cls"), "shared": group.column("tokens")})
         tokens, owner, (cls,) = gathered(group, ["cls"])
         tokens, owner = repeated(tokens, owner)
         names, own = np.unique(cls[owner], return_inverse=True)
         pairs = np.unique(joint(tokens, own))
         n = np.bincount((pairs & LOW)[met_again(pairs >> np.uint64(32))].astype(np.int64), minlength=len(names))
-        names, n = names[n > 0], n[n > 0]
-        part = (names.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-        rows = [(p, names[part == p].tobytes(), n[part == p].tobytes()) for p in np.unique(part).tolist()]
+        real = (n > 0) & (names != SEVERAL[0]) & (names != SEVERAL[1])
+        rows = by_part(names[real], n[real], parts)
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "cls": pa.array([r[1] for r in rows], pa.binary()), "shared": pa.array([r[2] for r in rows], pa.binary())})
 
     def add(group: pa.Table) -> pa.Table:
@@ -215,13 +256,19 @@ def candidates(df: DataFrame, reps: DataFrame, id_col: str, text_col: str, words
     return docs.mapInArrow(run, "cls long, n long, keys array<long>, tokens binary").dropDuplicates(["cls"])
 
 
+def bucket_count(rows: DataFrame, sets: DataFrame) -> int:
+    """How many tasks' shares the rows (cls) make with their sets, by number and by tokens."""
+    held = rows.join(sets.select("cls", "n"), "cls").agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+    return int(1 + max(held["rows"] // BUCKET_ROWS, held["tokens"] // BUCKET_TOKENS))
+
+
 def links_in_blocks(sets: DataFrame, percent: int) -> DataFrame:
     """a and b: links that join the classes of each block; a block is some of the classes with one smallest hash."""
-    keys = sets.select("cls", F.posexplode("keys").alias("k", "key"))
-    sizes = keys.groupBy("k", "key").agg(F.count("*").alias("size")).where("size > 1")
-    part = F.pmod(F.xxhash64("cls", "k"), F.ceil(F.col("size") / GROUP).cast("long"))
+    keys = sets.select("cls", "n", F.posexplode("keys").alias("k", "key"))
+    sizes = keys.groupBy("k", "key").agg(F.count("*").alias("size"), F.sum("n").alias("tokens_")).where("size > 1")
+    part = F.pmod(F.xxhash64("cls", "k"), F.ceil(F.greatest(F.col("size") / GROUP, F.col("tokens_") / BLOCK_TOKENS)).cast("long"))
     blocks = stored(keys.join(sizes, ["k", "key"]).select("cls", F.xxhash64("k", "key", part).alias("block")), "members")
-    buckets = int(1 + blocks.count() // BUCKET_ROWS)
+    buckets = bucket_count(blocks, sets)
 
     def run(group: pa.Table) -> pa.Table:
         held: dict[int, list[int]] = {}
@@ -351,7 +398,7 @@ def opened(sets: DataFrame, groups: DataFrame, asked: DataFrame, percent: int) -
     sent = stored(wanted.union(asking.where("not home").select("cls", "gid", "label", F.lit(True))), "sent")
     rows = sets.select("cls", "tokens").join(sent_whole(sent), "cls").select("gid", "cls", "label", "tokens", "asks")
     rows = rows.union(asking.where("home").select("gid", "cls", "label", F.lit(None).cast("binary"), F.lit(True)))
-    buckets = int(1 + sent.count() // BUCKET_ROWS)
+    buckets = bucket_count(sent, sets)
 
     def run(group: pa.Table) -> pa.Table:
         held: dict[int, tuple[list[int], list[int]]] = {}
@@ -412,6 +459,15 @@ def class_links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, w
     return near.union(opened(sets, groups, asked, percent))
 
 
+def spread_join(own: DataFrame, known: DataFrame, rows: int) -> DataFrame:
+    """own with least of its class, or null; a class of many copies is dealt to several tasks, by a list of such classes that is short whatever the table."""
+    many = max(HOT_COPIES, rows // BROADCAST_ROWS)
+    hot = known.where(F.col("copies") > many).select("cls", F.ceil(F.col("copies") / many).cast("int").alias("salts"))  # at most BROADCAST_ROWS, as each has many rows
+    salted = own.join(F.broadcast(hot), "cls", "left").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    each = F.explode(F.sequence(F.lit(0), F.when(F.col("copies") > many, F.ceil(F.col("copies") / many).cast("int") - 1).otherwise(0)))
+    return salted.join(known.select("cls", "least", each.alias("salt")), ["cls", "salt"], "left")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """id_col, n_shingles, cls and component_id of each row of df."""
     own = stored(documents_sets(df, id_col, text_col, words), "documents")
@@ -422,7 +478,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = rooted.groupBy("root").agg(F.min("rep").alias("least"))
     placed = rooted.join(least, "root").where("least <> rep").select("cls", "least")
     # a class of one document in no link needs no look-up; copies and linked ones meet their class
-    known = classes.join(placed, "cls", "left").where("copies > 1 or least is not null").select("cls", F.coalesce("least", "rep").alias("least"))
-    joined = own.join(known, "cls", "left")
+    known = classes.join(placed, "cls", "left").where("copies > 1 or least is not null").select("cls", F.coalesce("least", "rep").alias("least"), "copies")
+    joined = spread_join(own, known, own.count())
     component = F.when(F.col(id_col).isNotNull(), F.coalesce("least", id_col))
     return joined.select(id_col, F.col("n").alias("n_shingles"), "cls", component.alias("component_id"))
