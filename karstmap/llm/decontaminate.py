@@ -10,12 +10,12 @@ executors has a fixed bound; a larger benchmark takes more passes, whose hits ar
 
 Defined results: null or wordless texts have no words, no hits and are clean; items without
 words or with a null id are never found; repeated items with one id count once; repeated
-documents give repeated rows; other columns are ignored.
+documents give repeated rows; very long texts are read whole, word by word; spans that touch or overlap are one, and items found are sorted; other columns are ignored,
+and columns to keep that are named like a result get it replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -125,6 +125,7 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> int:
 
 def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), block_words: int = BLOCK_WORDS) -> DataFrame:
     """id_col, n_words, spans (array of start and end word), items (array of item ids as text) and the columns to keep."""
+    keep = tuple(c for c in keep if c not in ("n_words", "spans", "items"))
     blocks = item_blocks(benchmark, block_words)
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -194,17 +195,16 @@ def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int = 20, max_span: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, text_col, contaminated and removed_words: contaminated texts become null, and spans of over max_span words leave the others."""
-    judged = verdicts(find_items(docs, benchmark, window, id_col, text_col, keep=(text_col,)), coverage)
+    judged = verdicts(find_items(docs, benchmark, window, id_col, text_col, keep=(text_col,)), coverage).select(id_col, text_col, "n_words", "spans", "contaminated")
     limit = max_span if max_span is not None else 1 << 62
-    long = F.filter("spans", lambda s: s["end"] - s["start"] > limit)
-    gone = F.aggregate(long, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    text = F.when(~F.col("contaminated"), F.col(text_col) if max_span is None else F.udf(_cut, "string")(text_col, long))
-    return judged.select(id_col, text.alias(text_col), "contaminated", F.when(F.col("contaminated"), F.col("n_words")).otherwise(gone).alias("removed_words"))
 
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, gone = [], []
+        for text, n, spans, bad in zip(*(batch.column(c).to_pylist() for c in (text_col, "n_words", "spans", "contaminated")), strict=True):
+            long = [(x["start"], x["end"]) for x in spans if x["end"] - x["start"] > limit]
+            texts.append(None if bad else without_spans(text, long))
+            gone.append(n if bad else sum(b - a for a, b in long))
+        return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(texts, pa.string()), batch.column("contaminated"), pa.array(gone, pa.int64())], [id_col, text_col, "contaminated", "removed_words"])
 
-def _cut(text: str | None, spans: list) -> str | None:
-    return without_spans(text, [(x["start"], x["end"]) for x in spans])
-
-
-def items_digest(items: Iterable[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, text_col)}
+    return judged.mapInArrow(by_batch(cut), f"`{id_col}` {kinds[id_col]}, `{text_col}` string, contaminated boolean, removed_words long")

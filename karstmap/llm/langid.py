@@ -1,19 +1,22 @@
 """Language ID by cross-parsing: the language whose text describes a document in the fewest phrases.
 
-For each language a suffix automaton holds a bounded sample of labelled text: the words of at most
-``SAMPLE_DOCS`` documents of at most ``SAMPLE_BYTES`` bytes, taken in the order of a hash of their
-ids, up to ``SAMPLE_CHARS`` characters of distinct words. A text is parsed word by word, each with a
+For each language a suffix automaton holds a bounded sample of labelled text: the words of the whole texts of at most
+``SAMPLE_DOCS`` documents, taken in the order of a hash of their
+ids, those of most documents first and then in the order of a hash, while they come to at most ``SAMPLE_CHARS`` characters. A text is parsed word by word, each with a
 space on both sides, into longest matches; phrases, times the bits that point at a place in the
 sample, over the letters is the cross-parsing entropy. The smallest wins; ties go to the language
 that sorts first. Words met before are looked up, so a worker parses each word once.
 
 Defined results: null texts and texts without a letter give ``und`` and score 0; without any
 labelled text all give ``und``; rows with a null id are never learned from and not held out;
-repeated rows give repeated rows; other columns are ignored.
+repeated rows give repeated rows, and the first in order of texts with one id is learned; very long texts are read whole; other columns are ignored, and
+columns to keep that are named like a result get it replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import re
 
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from karstmap.llm.automaton import SuffixAutomaton
 from karstmap.llm.common import by_batch, fold_of
 
-SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_CHARS = 200, 1 << 16, 40_000
+SAMPLE_DOCS, SAMPLE_CHARS = 200, 40_000
 CACHE_WORDS = 250_000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -33,20 +36,24 @@ UNKNOWN = "und"
 
 def samples(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
     """The distinct words to learn of each language. The rank limit is applied before the shuffle, so a hot language sends docs rows a task."""
-    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col))
-    rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES))
-    few = rows.select(id_col, lang_col).withColumn("rank", rank).where(F.col("rank") <= docs)
-    own = few.groupBy(F.col(id_col).alias("sample_id")).agg(F.min("rank").alias("rank"))  # docs ids of each language
-    rows = rows.join(F.broadcast(own), rows[id_col] == own["sample_id"]).select(id_col, text_col, lang_col, "rank").dropDuplicates([id_col])
-    learned: dict[str, dict[str, None]] = {}
-    used: dict[str, int] = {}
-    for row in sorted(rows.collect(), key=lambda r: (r[lang_col], r["rank"])):
-        own = learned.setdefault(row[lang_col], {})
-        for word in LETTERS.findall(row[text_col].lower()):
-            if word not in own and used.get(row[lang_col], 0) < chars:
-                own[word] = None
-                used[row[lang_col]] = used.get(row[lang_col], 0) + len(word) + 1
-    return {k: list(v) for k, v in sorted(learned.items()) if v}
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and text is not null and lang is not null")
+    few = rows.select("id", "lang").withColumn("rank", rank).where(F.col("rank") <= docs)
+    ids = few.groupBy(F.col("id").alias("sample_id")).agg(F.min("lang").alias("own"))  # docs ids of each language
+    texts = rows.join(F.broadcast(ids), (F.col("id") == F.col("sample_id")) & (F.col("lang") == F.col("own"))).groupBy("id", "lang").agg(F.min("text").alias("text"))
+
+    def words(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [sorted(set(LETTERS.findall(t.lower()))) for t in batch.column("text").to_pylist()]
+        at = np.repeat(np.arange(len(found)), list(map(len, found)))
+        return pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(at, pa.int64())), pa.array([w for x in found for w in x], pa.string())], ["lang", "word"])
+
+    counts = texts.mapInArrow(by_batch(words), "lang string, word string").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    order = (F.desc("n"), F.xxhash64("word"), F.col("word"))
+    size = F.sum(F.length("word") + 1).over(Window.partitionBy("lang").orderBy(*order))  # of the sampled documents' words alone
+    learned: dict[str, list[str]] = {}
+    for row in counts.withColumn("size", size).where(F.col("size") <= chars).orderBy("lang", *order).collect():
+        learned.setdefault(row["lang"], []).append(row["word"])
+    return learned
 
 
 class CrossParser:
@@ -116,18 +123,19 @@ def identified(df: DataFrame, learned: dict[str, list[str]], id_col: str = "doc_
             made["it"] = _parser(shared.value)
         found = [made["it"].predict(t) for t in batch.column(text_col).to_pylist()]
         out = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-        return pa.RecordBatch.from_arrays([batch.column(c) for c in (id_col, *keep)] + out, [id_col, *keep, "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*map(batch.column, names), *out], [*names, "lang_pred", "score"])
 
-    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_col, *keep)]
-    return df.select(*dict.fromkeys((id_col, text_col, *keep))).mapInArrow(by_batch(run), ", ".join([*kinds, "lang_pred string", "score double"]))
+    names = [c for c in dict.fromkeys((id_col, *keep)) if c not in ("lang_pred", "score")]
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names]
+    return df.select(*dict.fromkeys((*names, text_col))).mapInArrow(by_batch(run), ", ".join([*kinds, "lang_pred string", "score double"]))
 
 
-_PARSERS: dict[int, CrossParser] = {}
+_PARSERS: dict[bytes, CrossParser] = {}
 
 
 def _parser(learned: dict[str, list[str]]) -> CrossParser:
     """One parser for a worker process, kept from task to task while the sample is the same."""
-    key = hash(tuple((k, tuple(v)) for k, v in learned.items()))
+    key = hashlib.sha256(json.dumps(list(learned.items())).encode()).digest()
     if key not in _PARSERS:
         _PARSERS.clear()
         _PARSERS[key] = CrossParser(learned)

@@ -1,8 +1,8 @@
 """Lines that many documents repeat are dropped but for the last document that holds them.
 
 Two Bloom filters mark the hashes of lines seen once and seen twice. Both are cut into segments by
-the hash; tasks send each segment the distinct hashes of their lines, and the segment's own task
-fills the pair of filters. Only lines that the second filter holds, the suspected repeats, are
+the hash. Each task fills a pair of its own and sends the bits that it set, compressed; the segment's task merges them: a bit
+that was there already is carried into the second filter. Only lines that the second filter holds, the suspected repeats, are
 shuffled to be counted exactly by a 128-bit digest. Segments grow in number with the text, never in
 size. The second filter is broadcast while it has at most ``BROADCAST_SEGMENTS`` segments, and the
 repeated lines while they are at most ``BROADCAST_LINES``; beyond either, the same rows meet by
@@ -10,12 +10,14 @@ joins on the segment, on the line (salted, as one line may be in a third of all
 the document.
 
 Defined results: a null or empty text has one empty line and stays (null stays null); documents
-with a null id neither count nor lose lines; rows with one id are one document; short keys and
-keys in fewer documents stay; a text that loses all its lines becomes empty.
+with a null id neither count nor lose lines; rows with one id are one document, so repeated rows count once, and all of them that hold
+the line's largest id keep it; very long texts are read whole; short keys and
+keys in fewer documents stay; a text that loses all its lines becomes empty; columns to keep that are named like a result get it replaced.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -61,8 +63,17 @@ def _segment(digests: np.ndarray, segments: int) -> np.ndarray:
     return (digests["segment"] % np.uint64(segments)).astype(np.int32)
 
 
+def _bits(digests: np.ndarray) -> bytes:
+    """The places of the digests' bits, in order, as steps from one to the next."""
+    return zlib.compress(np.diff(np.unique(_places(digests.view(DIGEST))), prepend=0).astype("<u4").tobytes(), 1)
+
+
+def _read(bits: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(bits), "<u4").astype(np.int64))
+
+
 def _local(batches: Iterator[pa.RecordBatch], segments: int, least: int) -> Iterator[pa.RecordBatch]:
-    """A task's distinct digests for each segment, and those that it met in more than one document."""
+    """A task's bits of each segment: those of all its lines, and those of lines that it met in more than one document."""
     held: list[bytes] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -74,7 +85,7 @@ def _local(batches: Iterator[pa.RecordBatch], segments: int, least: int) -> Iter
         order = np.argsort(owner, kind="stable")
         unique, counts, owner = unique[order], counts[order], owner[order]
         starts = np.flatnonzero(np.diff(owner, prepend=-1))
-        rows = [(int(owner[a]), unique[a:b].tobytes(), unique[a:b][counts[a:b] > 1].tobytes()) for a, b in zip(starts, [*starts[1:], len(owner)], strict=True)]
+        rows = [(int(owner[a]), _bits(unique[a:b]), _bits(unique[a:b][counts[a:b] > 1])) for a, b in zip(starts, [*starts[1:], len(owner)], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["segment", "once", "twice"])
 
     for batch in slices(batches):
@@ -86,13 +97,13 @@ def _local(batches: Iterator[pa.RecordBatch], segments: int, least: int) -> Iter
 
 
 def _fill(group: pa.Table) -> pa.Table:
-    """A segment's filter of digests seen at least twice, from the filter of those seen once."""
+    """A segment's second filter: bits that several tasks set, or one for several documents."""
     once, twice = np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
     for row in zip(group.column("once").to_pylist(), group.column("twice").to_pylist(), strict=True):
-        places = _places(np.frombuffer(row[0], DIGEST))
-        twice[places[:, once[places].all(axis=0)]] = True
+        places = _read(row[0])
+        twice[places[once[places]]] = True
         once[places] = True
-        twice[_places(np.frombuffer(row[1], DIGEST))] = True
+        twice[_read(row[1])] = True
     return pa.table({"segment": group.column("segment")[:1], "filter": pa.array([np.packbits(twice).tobytes()], pa.binary())})
 
 
@@ -163,7 +174,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = df.sparkSession
     found = stored(suspects(df, id_col, text_col, min_chars, broadcast_segments), "suspects")
     repeated = stored(repeated_lines(found, min_docs), "repeated")
-    names = list(dict.fromkeys((id_col, text_col, *keep)))
+    names = [c for c in dict.fromkeys((id_col, text_col, *keep)) if c not in ("n_lines", "n_dropped")]
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
     def apply(batch: pa.RecordBatch, dropped) -> pa.RecordBatch:
@@ -194,11 +205,11 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     pairs = found.distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).where("id <> keep")
-    drops = pairs.groupBy("id").agg(F.collect_set("key").alias("__drops"))
+    drops = pairs.groupBy(F.col("id").alias("__id")).agg(F.collect_set("key").alias("__drops"))
 
     def large(batch: pa.RecordBatch) -> pa.RecordBatch:
         drops = batch.column("__drops").to_pylist()
         return apply(batch, lambda i, _, __: set(drops[i] or ()))
 
-    joined = df.select(*names).join(drops, df[id_col].eqNullSafe(drops["id"]), "left").select(*names, "__drops")
+    joined = df.select(*names).join(drops, F.col(id_col).eqNullSafe(F.col("__id")), "left").select(*names, "__drops")
     return joined.mapInArrow(by_batch(large), f"{kinds}, n_lines long, n_dropped long")

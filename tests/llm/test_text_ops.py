@@ -27,7 +27,16 @@ def test_media_query(spark):
         assert (r.n_bytes, r.payload_bytes) == (len(raw), len(payload))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest()
         assert r.tail_crc32 == zlib.crc32(payload[-64:])
-        assert r.media_bytes > len(payload)
+        media_ = f"P5\n64 {len(payload) // 64}\n255\n".encode() + payload
+        assert (r.media_bytes, r.media_sha256) == (len(media_), hashlib.sha256(media_).hexdigest())
+        assert r.feature == plain_feature(np.frombuffer(payload, np.uint8).reshape(-1, 64))
+
+
+def plain_feature(image):
+    """Difference hash by areas: each cell's mean over the parts of the samples that it covers."""
+    share = lambda size, cells: np.array([[max(0.0, min((i + 1) * size / cells, j + 1) - max(i * size / cells, j)) for j in range(size)] for i in range(cells)])
+    mean = share(image.shape[0], 8) @ image.astype(float) @ share(64, 9).T / (image.shape[0] / 8 * (64 / 9))
+    return np.packbits(np.round(mean[:, :-1], 6) < np.round(mean[:, 1:], 6)).tobytes().hex()
 
 
 def test_media_edges(spark):
@@ -40,6 +49,23 @@ def test_media_edges(spark):
     assert [r.payload_sha256 for r in bmp] == [r.payload_sha256 for r in got] and [r.feature for r in bmp] == [r.feature for r in got]
 
 
+def test_names_that_clash(spark):
+    """Columns named like results or like an operator's own are ignored, or replaced where they are to be kept."""
+    names = ["id", "items", "spans", "n_words", "score", "lang_pred", "segment", "key", "n_lines", "feature", "error", "word"]
+    df = spark.createDataFrame([(i, LINE + f"\nthe cat sat on {i}", "en", *[i] * len(names)) for i in range(7)], "doc_id long, text string, lang string, " + ", ".join(f"{n} int" for n in names))
+    bench = spark.createDataFrame([(1, "the cat sat", 5, 6)], "item_id long, text string, spans int, items int")
+    assert {r.n_hit for r in decontaminate.verdicts(decontaminate.find_items(df, bench, keep=tuple(names))).collect()} == {3}
+    assert decontaminate.find_items(df, bench, keep=tuple(names), block_words=1).first().items == ["1"]
+    assert decontaminate.decontaminated(df, bench).count() == 7
+    for limits in ({}, {"broadcast_segments": 0, "broadcast_lines": 0}):
+        rows = linededup.deduplicated(df, keep=tuple(names), **limits).collect()
+        assert sorted((r.doc_id, r.id, r.n_lines, r.n_dropped) for r in rows) == [(i, i, 2, int(i < 6)) for i in range(7)]
+        assert linededup.deduplicated(df.drop("doc_id"), id_col="id", **limits).count() == 7
+    found = langid.identified(df, langid.samples(df), keep=tuple(names))
+    assert found.columns.count("score") == 1 and {r.lang_pred for r in found.collect()} == {"en"}
+    assert media.stored_texts(df).count() == 7
+
+
 def test_media_formats(spark):
     rng = np.random.default_rng(1)
     grey, colour = rng.integers(0, 256, (11, 13), np.uint8), rng.integers(0, 256, (7, 5, 3), np.uint8)
@@ -185,6 +211,10 @@ def test_language_edges(spark):
     by = {r.doc_id: r.lang_pred for r in got}
     assert len(got) == len(rows) and by[6] == "en" and by[7] == "de" and by[3] == by[4] == by[5] == "und"
     assert {r.lang_pred for r in langid.identified(df, langid.samples(df.limit(0))).collect()} == {"und"}
+    long = df.union(spark.createDataFrame([(50, "the cat " * 200_000, "en"), (50, "zzz", "en"), (51, "die katze " * 200_000, None)], df.schema))
+    learned = langid.samples(long)
+    assert learned["en"][0] == "the" and "zzz" not in learned["en"] and learned == langid.samples(long.repartition(5))
+    assert {r.doc_id: r.lang_pred for r in langid.identified(long, learned).collect()}[51] == "de"
     parser = langid.CrossParser({"a": ["abab", "ba"], "b": ["xyz"]})
     for text in ("abab", "baba", "qqab", "xyzx", "", "bbbb"):
         for moves, sample in zip(parser.moves, ([" abab ", " ba "], [" xyz "]), strict=True):
