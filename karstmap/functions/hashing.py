@@ -35,9 +35,18 @@ def bucket_of(key: str | Column, buckets: Column | int, seed: int = 0) -> Column
 
 def bloom_places(key: str | Column, bits: int, hashes: int, seed: int = 1) -> Column:
     """The places of a key in a Bloom filter: (a + i * b) mod bits of two words of its signature, b odd."""
-    sig = signature(key, seed)
-    a, b = word(sig, 0), word(sig, 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(a + i.cast("bigint") * F.when(b % 2 == 1, b).otherwise(b + 1), F.lit(bits).cast("bigint")))
+    size = F.lit(bits).cast("bigint")
+
+    def places(w: Column) -> Column:
+        odd = w["b"].bitwiseOR(F.lit(1).cast("bigint"))
+        return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(w["a"] + i.cast("bigint") * odd, size))
+
+    def words(sig: Column) -> Column:
+        return F.struct(word(sig, 0).alias("a"), word(sig, 1).alias("b"))
+
+    # an expression inside a lambda is worked out at each call, so signature and words are bound first
+    bound = F.transform(F.array(signature(key, seed)), words)
+    return F.element_at(F.transform(bound, places), 1)
 
 
 def wide(key: str | Column) -> list[Column]:

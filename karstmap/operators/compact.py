@@ -2,7 +2,7 @@
 
 A key's code is written as equations over GF(2): its bit i is the xor of a bucket's bits at three places
 of the key, each moved by i. A bucket of about ``EQUATIONS`` equations is one row; solving peels the
-equations that have a bit of their own and eliminates the rest on bit-packed rows. Looking up
+equations that have a bit of their own and eliminates the rest lazily, so that few variables are left to be eliminated densely. Looking up
 xors three slices and reads the canonical code. Unknown keys give some value: none are stored.
 """
 
@@ -25,78 +25,111 @@ def starts(h: np.ndarray, seed: int, span: int) -> np.ndarray:
     return np.stack([spread(mix(h, 4 * seed + i), span) for i in range(3)], axis=1)
 
 
-def solve(rows: list[int], values: list[int], size: int) -> int | None:
-    """Bits of a solution, as one number, of equations given as numbers with a bit for each variable; None if they contradict."""
-    order: list[tuple[int, int, int]] = []
-    holders: list[int] = [0] * size
-    degree = [0] * size
-    variables = []
+def solve(rows: list[list[int]], values: list[int], size: int) -> list[int] | None:
+    """Bits of a solution of equations, each given by its variables and their sum; None if they contradict.
+
+    Equations that alone hold a variable come off first, as that variable can satisfy them last. Among the rest variables are
+    set aside one by one, those in most equations first, until an equation has one other left, which it then expresses by those set aside; so only
+    equations over the few variables set aside are eliminated, each as the bits of one number.
+    """
+    holders: list[list[int]] = [[] for _ in range(size)]
     for k, row in enumerate(rows):
-        own, rest = [], row
-        while rest:
-            low = rest & -rest
-            own.append(low.bit_length() - 1)
-            rest ^= low
-        variables.append(own)
-        for v in own:
-            holders[v] ^= k
-            degree[v] += 1
+        for v in row:
+            holders[v].append(k)
+    degree = list(map(len, holders))
     left = [True] * len(rows)
+    peeled: list[tuple[int, int]] = []
     ready = [v for v in range(size) if degree[v] == 1]
     while ready:
         v = ready.pop()
-        if degree[v] != 1:
-            continue
-        k = holders[v]
-        left[k] = False
-        order.append((k, v, 0))
-        for u in variables[k]:
-            degree[u] -= 1
-            holders[u] ^= k
-            if degree[u] == 1:
-                ready.append(u)
-    pivots: list[tuple[int, int, int]] = []
-    top = 1 << size
-    for k, keep in enumerate(left):
-        if not keep:
-            continue
-        row = rows[k] | (top if values[k] else 0)
-        for bit, other, _ in pivots:
-            if row & bit:
-                row ^= other
-        body = row & (top - 1)
-        if not body:
+        if degree[v] == 1:
+            k = next(k for k in holders[v] if left[k])
+            left[k] = False
+            peeled.append((k, v))
+            for u in rows[k]:
+                degree[u] -= 1
+                if degree[u] == 1:
+                    ready.append(u)
+    aside = 0
+    known = [False] * size  # set aside or expressed
+    state = list(values)  # bit 0: the sum; the others: variables set aside
+    weight = [len(row) if keep else -1 for row, keep in zip(rows, left, strict=True)]
+    expressed: list[tuple[int, int]] = []
+    names: list[int] = []
+    single = [k for k, w in enumerate(weight) if w == 1]
+    dense = [k for k, w in enumerate(weight) if w == 0]
+    order = iter(sorted((v for v in range(size) if degree[v] > 0), key=lambda v: -degree[v]))
+    while True:
+        if single:
+            k = single.pop()
+            if weight[k] != 1:
+                continue
+            v = next(u for u in rows[k] if not known[u])
+            expressed.append((k, v))
+            weight[k] = -1
+            bits = state[k]
+        else:
+            v = next((u for u in order if not known[u]), -1)
+            if v < 0:
+                break
+            aside += 1
+            names.append(v)
+            bits = 1 << aside
+        known[v] = True
+        for f in holders[v]:
+            if weight[f] > 0:
+                state[f] ^= bits
+                weight[f] -= 1
+                if weight[f] == 1:
+                    single.append(f)
+                elif not weight[f]:
+                    dense.append(f)
+    pivots: dict[int, int] = {}
+    for k in dense:
+        row = state[k]
+        while row > 1:
+            top = row.bit_length()
+            if (other := pivots.get(top)) is None:
+                pivots[top] = row
+                break
+            row ^= other
+        else:
             if row:
                 return None
-            continue
-        pivots.append((body & -body, row, 0))
-    solution = 0
-    for bit, row, _ in reversed(pivots):
-        if ((row & (top - 1) & solution & ~bit).bit_count() + (row >> size)) & 1:
-            solution |= bit
-    for k, v, _ in reversed(order):
-        bit = 1 << v
-        if ((rows[k] & solution & ~bit).bit_count() + values[k]) & 1:
-            solution |= bit
+    solution, found = [0] * size, 1  # found: bit 0 stands for the sums
+    for top in sorted(pivots):
+        if ((pivots[top] ^ (1 << (top - 1))) & found).bit_count() & 1:
+            found |= 1 << (top - 1)
+    for i, v in enumerate(names, 1):
+        solution[v] = found >> i & 1
+    for k, v in expressed:
+        solution[v] = (state[k] & found).bit_count() & 1
+    for k, v in reversed(peeled):
+        total = values[k]
+        for u in rows[k]:
+            if u != v:
+                total ^= solution[u]
+        solution[v] = total
     return solution
 
 
 def solved_bucket(h: np.ndarray, codes: np.ndarray, lengths: np.ndarray, longest: int) -> tuple[int, int, bytes]:
     """Seed, span and bits of one bucket."""
+    lengths, codes = lengths.astype(np.int64), codes.astype(np.int64)
     span = max(3, int(np.ceil(lengths.sum() * EXPANSION)))
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    bit = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    values = (codes[owner] >> (lengths[owner] - 1 - bit) & 1).tolist()
     for seed in range(SEEDS):
         if seed and seed % 8 == 0:
             span += 2 + span // 50
-        rows, values = [], []
-        for own, code, length in zip(starts(h, seed, span).tolist(), codes.tolist(), lengths.tolist(), strict=True):
-            base = (1 << own[0]) ^ (1 << own[1]) ^ (1 << own[2])
-            for i in range(length):
-                rows.append(base << i)
-                values.append(code >> (length - 1 - i) & 1)
+        places = np.sort(starts(h, seed, span), axis=1)[owner] + bit[:, None]
+        rows = places.tolist()
+        for k in np.flatnonzero((places[:, 0] == places[:, 1]) | (places[:, 1] == places[:, 2])).tolist():
+            a, b, c = rows[k]  # equal places cancel
+            rows[k] = [c] if a == b else [a]
         if (found := solve(rows, values, span + longest)) is not None:
-            size = span + longest
-            bits = np.frombuffer(found.to_bytes(-(-size // 8), "little"), np.uint8)
-            return seed, span, pack_bits(np.unpackbits(bits, bitorder="little")[:size])
+            return seed, span, pack_bits(np.array(found, np.uint8))
     raise RuntimeError("no solution found: repeated keys?")
 
 

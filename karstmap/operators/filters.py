@@ -8,6 +8,7 @@ a table of shards. No filter has false negatives.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -72,19 +73,21 @@ class BloomFilter:
         self.bits, self.size_bits, self.num_hashes, self.num_elements = bits, size_bits, num_hashes, num_elements
 
     @classmethod
-    def fixed(cls, keys: DataFrame, size_bits: int, num_hashes: int, key: str = "key") -> BloomFilter:
-        """bits: the set places, one row each."""
+    def fixed(cls, keys: DataFrame, size_bits: int, num_hashes: int, key: str = "key", count: int | None = None) -> BloomFilter:
+        """bits: the set places, one row each; count: how many keys, where that is known."""
         own = keys.select(F.explode(bloom_places(key, size_bits, num_hashes)).alias("bit")).distinct()
-        return cls(own, size_bits, num_hashes, keys.count())
+        return cls(own, size_bits, num_hashes, keys.count() if count is None else count)
 
     @classmethod
     def autotuned(cls, keys: DataFrame, error_rate: float, key: str = "key") -> BloomFilter:
-        size, hashes = bloom_size(keys.count(), error_rate)
-        return cls.fixed(keys, size, max(1, hashes), key)
+        count = keys.count()
+        size, hashes = bloom_size(count, error_rate)
+        return cls.fixed(keys, size, max(1, hashes), key, count)
 
     @classmethod
     def of(cls, minority: DataFrame, config: BloomFilterConfig, key: str = "key") -> BloomFilter:
-        return cls.fixed(minority, max(1, config.bits_per_element * minority.count()), config.num_hashes, key)
+        count = minority.count()
+        return cls.fixed(minority, max(1, config.bits_per_element * count), config.num_hashes, key, count)
 
     def words(self) -> DataFrame:
         """word and its 32 bits as a number."""
@@ -108,14 +111,11 @@ class BloomFilter:
         """For filters of at most LITERAL_BITS bits: the test as an expression over the bits as a literal."""
         if self.size_bits > LITERAL_BITS:
             raise ValueError("the filter is too large for a literal; use marked()")
-        raw = bytearray(-(-self.size_bits // 8))
+        words = [0] * -(-self.size_bits // 32)
         for row in self.words().collect():
-            at = 4 * row["word"]
-            word = (row["bits"] & 0xFFFFFFFF).to_bytes(4, "little")
-            raw[at : at + 4] = word[: len(raw) - at]
-        held = F.lit(bytes(raw))
-        byte = lambda p: F.conv(F.hex(F.substring(held, (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        return F.forall(bloom_places(key, self.size_bits, self.num_hashes), lambda p: F.getbit(byte(p), F.pmod(p, F.lit(8)).cast("int")) == 1)
+            words[row["word"]] = row["bits"]
+        held = F.from_json(F.lit(json.dumps(words)), "array<bigint>")  # folded into one array, whose elements are found at once
+        return F.forall(bloom_places(key, self.size_bits, self.num_hashes), lambda p: F.getbit(F.element_at(held, (F.floor(p / 32) + 1).cast("int")), F.pmod(p, F.lit(32)).cast("int")) == 1)
 
     def stats(self) -> dict:
         return {"type": self.kind, "size_bytes": -(-self.size_bits // 8), "num_elements": self.num_elements, "num_hashes": self.num_hashes, "size_bits": self.size_bits, "fingerprint_bits": None}

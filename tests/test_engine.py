@@ -159,16 +159,26 @@ def test_bits_per_key(spark):
 def test_solver():
     draw = np.random.default_rng(2)
     for n, m in ((1, 3), (50, 60), (400, 450)):
-        rows = []
-        for _ in range(n):
-            row = 0
-            for v in draw.choice(m, 3, replace=False):
-                row ^= 1 << int(v)
-            rows.append(row)
+        rows = [draw.choice(m, 3, replace=False).tolist() for _ in range(n)]
         values = draw.integers(0, 2, n).tolist()
         if (found := compact.solve(rows, values, m)) is not None:
-            assert [(r & found).bit_count() & 1 for r in rows] == values
-    assert compact.solve([3, 3], [0, 1], 4) is None and compact.solve([3, 3], [1, 1], 4) is not None
+            assert [sum(found[v] for v in r) % 2 for r in rows] == values
+    assert compact.solve([[0, 1], [0, 1]], [0, 1], 4) is None and compact.solve([[0, 1], [0, 1]], [1, 1], 4) is not None
+
+
+def test_solver_finds_all_solvable():
+    """Against plain elimination of every equation: contradictions are found, and nothing else."""
+    draw = np.random.default_rng(3)
+    outcomes = set()
+    for _ in range(300):
+        n, m = int(draw.integers(1, 14)), int(draw.integers(3, 10))
+        rows, values = [draw.choice(m, int(draw.integers(1, 4)), replace=False).tolist() for _ in range(n)], draw.integers(0, 2, n).tolist()
+        solvable = any(all(sum(x >> v & 1 for v in r) % 2 == y for r, y in zip(rows, values, strict=True)) for x in range(1 << m))
+        found = compact.solve(rows, values, m)
+        assert (found is not None) == solvable
+        assert found is None or [sum(found[v] for v in r) % 2 for r in rows] == values
+        outcomes.add(solvable)
+    assert outcomes == {True, False}
 
 
 def entropy_of(matrix):
