@@ -83,6 +83,12 @@ def packed_rows(df: DataFrame, book: DataFrame, key: str = "key", values: str =
     return coded.groupBy(key).agg(joined.alias("code")).withColumn("n_bits", F.length("code").cast("bigint"))
 
 
+def most_bits(packed: DataFrame, book: DataFrame) -> DataFrame:
+    """max_total_bits: what a reader of packed rows must hold, the longest row's bits and one more code."""
+    longest = book.agg(F.max("code_len").alias("longest"))
+    return packed.agg(F.max("n_bits").alias("bits")).join(F.broadcast(longest)).select((F.col("bits") + F.col("longest")).alias("max_total_bits"))
+
+
 def unpacked_rows(packed: DataFrame, book: DataFrame, key: str = "key", values: str = "values") -> DataFrame:
     """The inverse of packed_rows: codes are read one after another by a canonical code's first codes, then joined with their symbols."""
     firsts = book.groupBy("code_len").agg(F.min("code").alias("first"), F.count("*").alias("n"))

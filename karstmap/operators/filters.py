@@ -14,12 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karstmap.functions.bits import pack_cells, unpack_cells
 from karstmap.functions.hashing import as_text, bloom_places, mix, spread, wide
 from karstmap.functions.sizes import FUSE_LEAST_KEYS, bloom_size, fuse_layout, xor_cells
+from karstmap.sources import storage
 
 SHARD_KEYS, ATTEMPTS = 50_000, 40
 LITERAL_BITS = 1 << 23  #: a Bloom filter of at most 1 MB is a literal of the plan
@@ -237,6 +238,32 @@ class ShardedFilter:
         return {"type": self.kind, "size_bytes": size, "num_elements": self.num_elements, "num_hashes": None, "size_bits": None, "fingerprint_bits": self.width}
 
 
+def saved(made: BloomFilter | ShardedFilter) -> tuple[dict, DataFrame]:
+    """What describes a filter, and its table."""
+    if isinstance(made, BloomFilter):
+        return {"kind": "bloom", "size_bits": made.size_bits, "num_hashes": made.num_hashes, "num_elements": made.num_elements}, made.bits
+    return {"kind": made.kind, "width": made.width, "count": made.count, "num_elements": made.num_elements}, made.shards
+
+
+def read(own: dict, table: DataFrame) -> BloomFilter | ShardedFilter:
+    """The filter of a description and a table."""
+    if own["kind"] == "bloom":
+        return BloomFilter(table, own["size_bits"], own["num_hashes"], own["num_elements"])
+    return ShardedFilter(table, own["kind"], own["width"], own["count"], own["num_elements"])
+
+
+def save(made: BloomFilter | ShardedFilter, path: str) -> None:
+    """A filter by itself."""
+    own, table = saved(made)
+    storage.save(table.sparkSession, path, {"kind": "filter", "filter": own}, {"cells": table})
+
+
+def load(spark: SparkSession, path: str) -> BloomFilter | ShardedFilter:
+    """A filter of any kind; an error where something else lies."""
+    manifest, tables = storage.load(spark, path, "filter")
+    return read(manifest["filter"], tables["cells"])
+
+
 MAKERS: dict[type, Callable] = {BloomFilterConfig: BloomFilter.of, XORFilterConfig: ShardedFilter.of, BinaryFuseFilterConfig: ShardedFilter.of}
 
 

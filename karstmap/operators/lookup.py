@@ -13,6 +13,11 @@ def minority(pairs: DataFrame, mcv: object, value: str = "value") -> DataFrame:
     return pairs.where(~F.col(value).eqNullSafe(F.lit(mcv)))
 
 
+def sentinels(pairs: DataFrame, mcv: object, value: str = "value") -> DataFrame:
+    """pairs with value as 1 for keys that a filter has to hold and 0 for those of the most common value."""
+    return pairs.withColumn(value, F.when(F.col(value).eqNullSafe(F.lit(mcv)), 0).otherwise(1))
+
+
 def joined(probe: DataFrame, index: DataFrame, key: str, index_key: str = "key", value: str = "value", out: str = "value") -> DataFrame:
     """probe with the value of its key, null for keys that the index lacks; Catalyst picks the join."""
     own = index.select(as_text(index_key).alias("__key"), F.col(value).alias(out))

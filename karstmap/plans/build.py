@@ -123,6 +123,15 @@ class Index:
             found = sized.join(found, "__probe", "left").select("__probe", F.when(F.col("__n") == 0, empty).otherwise(F.col(out)).alias(out))
         return probe.join(found, as_text(probe[key]) == found["__probe"], "left").drop("__probe")
 
+    def at(self, wanted: object, out: str = "value") -> DataFrame:
+        """key and the value of one key: of the index only its bucket is read."""
+        text = wanted.decode() if isinstance(wanted, bytes) else str(wanted)
+        probe = self.spark.createDataFrame([(text,)], "key string")
+        if self.layout != "scalar" or self.tier != "relational" or self.part.filter is not None:
+            return self.lookup(probe, out=out)
+        bucket = bucket_of(F.lit(text), self.part.buckets)
+        return self.part.table.where((F.col("bucket") == bucket) & (F.col("key") == text)).select("key", F.col("value").alias(out))
+
     def query_batch(self, keys: list) -> list:
         """The values of a list of keys, in its order."""
         rows = [(i, k.decode() if isinstance(k, bytes) else str(k)) for i, k in enumerate(keys)]
@@ -172,12 +181,8 @@ class Index:
             parts[name] = {"buckets": part.buckets, "counts": list(part.shape.counts), "keys": part.keys, "stored_keys": part.stored_keys, "filter": None}
             kind = part.book.schema["symbol"].dataType.simpleString()
             tables[f"{name}_mcv"] = self.spark.createDataFrame([(part.mcv,)], part.book.select("symbol").schema) if part.mcv is not None else self.spark.createDataFrame([], f"symbol {kind}")
-            if isinstance(part.filter, filters.BloomFilter):
-                parts[name]["filter"] = {"kind": "bloom", "size_bits": part.filter.size_bits, "num_hashes": part.filter.num_hashes, "num_elements": part.filter.num_elements}
-                tables[f"{name}_filter"] = part.filter.bits
-            elif part.filter is not None:
-                parts[name]["filter"] = {"kind": part.filter.kind, "width": part.filter.width, "count": part.filter.count, "num_elements": part.filter.num_elements}
-                tables[f"{name}_filter"] = part.filter.shards
+            if part.filter is not None:
+                parts[name]["filter"], tables[f"{name}_filter"] = filters.saved(part.filter)
         storage.save(self.spark, path, {"kind": f"{self.layout}-{self.kind}", "layout": self.layout, "value": self.kind, "tier": self.tier, "width": self.width, "parts": parts}, tables, {f"{n}_table": "bucket" for n in parts})
 
 
@@ -186,22 +191,20 @@ def load(spark: SparkSession, path: str, kind: str | None = None) -> Index:
     manifest, tables = storage.load(spark, path, kind)
     parts = {}
     for name, own in manifest["parts"].items():
-        made = own["filter"]
-        if made and made["kind"] == "bloom":
-            made = filters.BloomFilter(tables[f"{name}_filter"], made["size_bits"], made["num_hashes"], made["num_elements"])
-        elif made:
-            made = filters.ShardedFilter(tables[f"{name}_filter"], made["kind"], made["width"], made["count"], made["num_elements"])
+        made = filters.read(own["filter"], tables[f"{name}_filter"]) if own["filter"] else None
         top = tables[f"{name}_mcv"].first()
         parts[name] = Part(manifest["tier"], dictionary.CodeShape(tuple(own["counts"])), tables[f"{name}_book"], own["buckets"], tables[f"{name}_table"], top["symbol"] if top else None, made, own["keys"], own["stored_keys"])
     return Index(manifest["layout"], manifest["value"], manifest["tier"], parts["main"], parts.get("lengths"), manifest["width"])
 
 
-def build(df: DataFrame, key: str = "key", value: str = "value", *, prefilter: filters.FilterConfig | None = filters.AutoFilterConfig(), permutation: permute.PermutationConfig | None = None, shared_codebook: bool = False, shared_filter: bool = False, strategy: str | None = None, max_to_infer: int | None = None, tier: str = "compact", verbose: bool = False) -> Index:
-    """An index of df's key and value columns; an array column gives a fixed or ragged map, or with strategy packed a packed one."""
+def build(df: DataFrame, key: str = "key", value: str = "value", *, prefilter: filters.FilterConfig | None = filters.AutoFilterConfig(), permutation: permute.PermutationConfig | None = None, shared_codebook: bool = False, shared_filter: bool = False, strategy: str | None = None, max_to_infer: int | None = None, tier: str = "compact", verbose: bool = False, kind_of_values: str | None = None) -> Index:
+    """An index of df's key and value columns; an array column gives a fixed or ragged map, or with strategy packed a packed one. kind_of_values: what the values must fit, instead of the kind inferred."""
     if tier not in ("compact", "relational"):
         raise ValueError(f"unknown tier {tier!r}")
     inference.check_key(df, key)
     kind = inference.infer(df, value, max_to_infer)
+    if kind_of_values is not None:
+        kind = inference.forced(kind, kind_of_values)
     auto = isinstance(prefilter, filters.AutoFilterConfig)
     inference.check_options(kind.layout, kind.kind, permutation=permutation, shared_codebook=shared_codebook, shared_filter=shared_filter, strategy=strategy, explicit_filter=prefilter is not None and not auto)
     pairs = df.select(as_text(key).alias("key"), F.col(value).alias("value")).persist()

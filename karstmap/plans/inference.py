@@ -71,6 +71,16 @@ def infer(df: DataFrame, value: str = "value", max_to_infer: int | None = None)
     return ValueKind(kind_of(element_type(df, value), row["low"], row["high"]), layout)
 
 
+def forced(kind: ValueKind, wanted: str) -> ValueKind:
+    """The wanted kind where values of the inferred one fit it: any text is a string, and small numbers are 64-bit ones."""
+    if wanted not in KINDS:
+        raise ValueError(f"unknown kind {wanted!r}")
+    fits = {"uint64": ("uint32", "uint64"), "string": ("char10", "char12", "string")}.get(wanted, (wanted,))
+    if kind.kind not in fits:
+        raise ValueError(f"values of kind {kind.kind} aren't {wanted}")
+    return ValueKind(wanted, kind.layout)
+
+
 def check_key(df: DataFrame, key: str) -> None:
     kind = df.schema[key].dataType
     if not isinstance(kind, (T.StringType, T.BinaryType, *INTEGERS)):

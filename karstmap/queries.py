@@ -134,7 +134,7 @@ def md5_word(expr: str, part: int) -> str:
 
 @query("SELECT o_orderkey AS key, o_orderpriority AS value FROM orders WHERE o_orderkey = 42")
 def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup.at(priorities(spark, sf), 42)
+    return plans.build(priorities(spark, sf), tier="relational", prefilter=None).at(42).select(F.col("key").cast("bigint").alias("key"), "value")
 
 
 BATCH = "SELECT DISTINCT l_orderkey AS key, o_orderpriority AS value FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey"
@@ -345,6 +345,19 @@ def minority_keys(spark: SparkSession, sf: str) -> DataFrame:
     return rare(spark, sf)
 
 
+@query(f"SELECT key, CAST(CASE WHEN value = 0 THEN 0 ELSE 1 END AS INT) AS value FROM ({D2})")
+def sentinel_projection(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.sentinels(skewed(spark, sf), 0)
+
+
+@query(f"SELECT key, value FROM ({D2}) WHERE value <> 0")
+def filter_save_load(spark: SparkSession, sf: str) -> DataFrame:
+    """The minority's rows that a filter accepts after it was saved and loaded: all of them."""
+    path = _scratch(spark)
+    filters.save(filters.make_filter(rare(spark, sf), filters.XORFilterConfig(8)), path)
+    return filters.load(spark, path).survivors(rare(spark, sf))
+
+
 @query(BLOOM)
 def bloom_bits(spark: SparkSession, sf: str) -> DataFrame:
     return filters.BloomFilter.of(rare(spark, sf), filters.BloomFilterConfig(6, 5)).bits
@@ -446,6 +459,13 @@ def packed_bits_per_key(spark: SparkSession, sf: str) -> DataFrame:
     return arrays.packed_rows(own, dictionary.codebook(arrays.packed_histogram(own))).select("key", "n_bits")
 
 
+@query(f"WITH b AS ({lengths_sql(PACKED_HIST)}), r AS (SELECT key, sum(code_len) AS n FROM (SELECT key, value FROM ({cells_sql(D5)}) UNION ALL SELECT key, -1 FROM ({D5})) JOIN b ON symbol = value GROUP BY key) SELECT CAST((SELECT max(n) FROM r) + (SELECT max(code_len) FROM b) AS BIGINT) AS max_total_bits")
+def packed_max_bits(spark: SparkSession, sf: str) -> DataFrame:
+    own = supplier_rows(spark, sf)
+    book = dictionary.codebook(arrays.packed_histogram(own)).persist()
+    return arrays.most_bits(arrays.packed_rows(own, book), book)
+
+
 @query(RENDERED.format(D5))
 def packed_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     own = supplier_rows(spark, sf)
@@ -494,7 +514,11 @@ def entropy_permutation_preserved(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="karstmap-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="karstmap-")  # one machine
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMAT = 1
+NPY_ROWS = 10_000
 
 
 class DeserializationError(RuntimeError):
@@ -37,6 +42,23 @@ def load(spark: SparkSession, path: str, kind: str | None = None) -> tuple[dict,
     return manifest, tables
 
 
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """row and values of matrices in NPY files, one array a row; row is the number within its file. Each file is one task's, from any store that Spark reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                matrix = np.load(io.BytesIO(content), allow_pickle=False)
+                if matrix.ndim != 2 or matrix.dtype.kind not in "iu":
+                    raise ValueError(f"{name} holds no matrix of integers")
+                for at in range(0, len(matrix), NPY_ROWS):
+                    part = matrix[at : at + NPY_ROWS].astype(np.int64)
+                    rows = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * part.shape[1], pa.int32()), pa.array(part.ravel(), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part)), pa.int64()), rows], ["path", "row", "values"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, row bigint, values array<bigint>")
+
+
 def difference(a: DataFrame, b: DataFrame) -> int:
     """Rows that only one of two tables has."""
     return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count("*")).first()[0]

@@ -4,6 +4,8 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import col as k_col
+from pyspark.sql.functions import lit as k_lit
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -51,7 +53,50 @@ def test_cells(width, values):
 @pytest.mark.parametrize("values", [list(range(1000)), [5] * 900 + list(range(100)), [7] * 1000, [f"value{i % 50}" for i in range(1000)], [f"{i % 9:010d}" for i in range(1000)], [i << 40 for i in range(1000)]], ids=["unique", "skewed", "constant", "string", "char10", "uint64"])
 def test_scalar(spark, tier, values):
     index = check(spark, KEYS, values, tier=tier)
-    assert not index.is_multiset() and index.kind == {"unique": 0}.get("", index.kind)
+    kind = "uint64" if values[-1] == 999 << 40 else "uint32" if isinstance(values[0], int) else "char10" if len(values[0]) == 10 else "string"
+    assert not index.is_multiset() and index.kind == kind
+
+
+def test_forced_kinds(spark):
+    assert k.from_lists(spark, ["a", "b"], [1, 2], kind_of_values="uint64").kind == "uint64"
+    assert k.from_lists(spark, ["a", "b"], ["0123456789", "9876543210"], kind_of_values="string").query("b") == "9876543210"
+    for values, wanted in (([1 << 40, 2], "uint32"), (["x", "y"], "char10"), ([1, 2], "string"), ([1, 2], "int8")):
+        with pytest.raises(ValueError):
+            k.from_lists(spark, ["a", "b"], values, kind_of_values=wanted)
+
+
+def test_one_key(spark):
+    for options in ({"tier": "relational", "prefilter": None}, {"tier": "relational"}, {}):
+        index = k.from_lists(spark, [f"k{i}" for i in range(50)], [i % 7 for i in range(50)], **options)
+        assert [(r.key, r.value) for r in index.at(b"k9").collect()] == [("k9", 2)]
+
+
+def test_npy(spark, tmp_path):
+    from karstmap.sources import storage
+
+    matrix = np.arange(12, dtype=np.uint32).reshape(4, 3)
+    np.save(tmp_path / "a.npy", matrix)
+    rows = storage.read_npy(spark, str(tmp_path)).orderBy("row").collect()
+    assert [r["values"] for r in rows] == matrix.tolist() and [r["row"] for r in rows] == [0, 1, 2, 3]
+
+
+def test_filters_alone(spark, tmp_path):
+    from karstmap.operators import filters
+
+    keys = spark.range(500).selectExpr("concat('k', id) AS key")
+    for i, config in enumerate((k.BloomFilterConfig(10, 4), k.XORFilterConfig(8), k.BinaryFuseFilterConfig(9))):
+        made = filters.make_filter(keys, config)
+        filters.save(made, f"file://{tmp_path}/{i}")
+        back = filters.load(spark, f"file://{tmp_path}/{i}")
+        assert back.stats() == made.stats() and back.survivors(keys).count() == 500
+
+
+def test_code_bits(spark):
+    codes = [(0b1011, 4), (0, 3), (1, 1), ((1 << 62) - 1, 62)]
+    df = spark.createDataFrame(codes, "code long, length int")
+    shown = df.select(bits.rendered(k_col("code"), k_col("length")).alias("s"), bits.bit(k_col("code"), k_col("length"), k_lit(0)).alias("first"), bits.distance(k_col("code"), k_lit(1)).alias("d")).collect()
+    assert [r.s for r in shown] == [f"{c:0{n}b}" for c, n in codes]
+    assert [r["first"] for r in shown] == [c >> (n - 1) & 1 for c, n in codes] and [r.d for r in shown] == [(c ^ 1).bit_count() for c, _ in codes]
 
 
 @pytest.mark.parametrize("config", [None, k.BloomFilterConfig(10, 7), k.XORFilterConfig(8), k.XORFilterConfig(4), k.BinaryFuseFilterConfig(12)], ids=str)
