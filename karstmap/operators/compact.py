@@ -133,10 +133,9 @@ def solved_bucket(h: np.ndarray, codes: np.ndarray, lengths: np.ndarray, longest
     raise RuntimeError("no solution found: repeated keys?")
 
 
-def read_codes(h: np.ndarray, seed: int, span: int, solution: bytes, shape: CodeShape) -> np.ndarray:
-    """The canonical place of each key's symbol, by testing its bits length by length."""
+def read_codes(h: np.ndarray, seed: int, span: int, bits: np.ndarray, shape: CodeShape) -> np.ndarray:
+    """The canonical place of each key's symbol, by testing its bits length by length; bits: of a bucket, at least span and the shape's longest."""
     longest = shape.longest
-    bits = unpack_bits(solution, span + longest)
     at = starts(h, seed, span)
     window = at[:, :, None] + np.arange(longest)
     read = np.bitwise_xor.reduce(bits[window], axis=1).astype(np.int64)
@@ -165,21 +164,30 @@ def build(pairs: DataFrame, shape: CodeShape, buckets: int, key: str = "key") ->
     return own.groupBy("bucket").applyInArrow(run, "bucket bigint, seed int, span int, solution binary")
 
 
-def lookup(index: DataFrame, probe: DataFrame, shape: CodeShape, buckets: int, key: str = "key") -> DataFrame:
-    """text (each distinct probe key) and place (its symbol's canonical place)."""
+def lookup(index: DataFrame, probe: DataFrame, shape: CodeShape, buckets: int, key: str = "key", columns: dict[int, CodeShape] | None = None) -> DataFrame:
+    """text (each distinct probe key) and place (its symbol's canonical place); with columns, the codes by column, also pos, which probe has."""
 
     def run(keys: pa.Table, rows: pa.Table) -> pa.Table:
         h = np.asarray(keys.column("h2")).astype(np.uint64)
+        place, known = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
         if len(rows) and len(h):
             row = rows.to_pylist()[0]
-            place = pa.array(read_codes(h, row["seed"], row["span"], row["solution"], shape), pa.int64())
-        else:
-            place = pa.nulls(len(h), pa.int64())
-        return pa.table({"text": keys.column("text"), "place": place})
-
-    text = probe.select(as_text(key).alias("text")).where("text is not null").distinct()
-    keys = text.select("text", *wide("text")).withColumn("bucket", F.pmod("h1", F.lit(buckets)).cast("bigint"))
-    return keys.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(run, "text string, place bigint")
+            held = unpack_bits(row["solution"], row["span"] + shape.longest)
+            if columns is None:
+                place, known = read_codes(h, row["seed"], row["span"], held, shape), ~known
+            else:
+                pos = np.asarray(keys.column("pos"))
+                for p in np.unique(pos).tolist():
+                    if p in columns:
+                        own = pos == p
+                        place[own], known[own] = read_codes(h[own], row["seed"], row["span"], held, columns[p]), True
+        out = {"text": keys.column("text"), "place": pa.array(place, pa.int64(), mask=~known)}
+        return pa.table(out if columns is None else out | {"pos": keys.column("pos")})
+
+    more = [] if columns is None else [F.col("pos").cast("int").alias("pos")]
+    text = probe.select(as_text(key).alias("text"), *more).where("text is not null").distinct()
+    keys = text.select("text", *wide("text"), *more).withColumn("bucket", F.pmod("h1", F.lit(buckets)).cast("bigint"))
+    return keys.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(run, "text string, place bigint" + (", pos int" if more else ""))
 
 
 def bucket_count(total_bits: int) -> int:

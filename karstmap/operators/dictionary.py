@@ -9,7 +9,10 @@ from their ranks by literal expressions.
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict, deque
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +20,11 @@ from pyspark.sql import functions as F
 from karstmap.functions.ordering import numbered
 
 MAX_CODE_LENGTH = 62
-MAX_SYMBOLS = 4_000_000
 
 
-def histogram(df: DataFrame, value: str = "value") -> DataFrame:
-    """symbol and freq."""
-    return df.groupBy(F.col(value).alias("symbol")).agg(F.count("*").alias("freq"))
+def histogram(df: DataFrame, value: str = "value", by: list[str] | None = None) -> DataFrame:
+    """The columns of by, symbol and freq."""
+    return df.groupBy(*(by or []), F.col(value).alias("symbol")).agg(F.count("*").alias("freq"))
 
 
 def pooled_histogram(df: DataFrame, values: str = "values") -> DataFrame:
@@ -56,30 +58,61 @@ def entropy(hist: DataFrame, by: list[str] | None = None) -> DataFrame:
     return own.select(*(by or []), (F.log2(F.col("n").cast("double")) - F.col("s") / F.col("n")).alias("entropy_bits"))
 
 
+def length_counts(classes: list[tuple[int, int]]) -> list[int]:
+    """How many symbols get each code length, from 0, in a minimum-redundancy code; classes: frequency and how many symbols have it, ascending.
+
+    Nodes of one weight are merged with each other in one step, so the work grows with the classes and not with the symbols; ties take leaves first.
+    """
+    if sum(n for _, n in classes) < 2:
+        return [0, *(n for _, n in classes)]
+    runs = [[f, n, None] for f, n in classes]  # weight, nodes left, the run or the two runs below each of its nodes
+    sizes = [n for _, n in classes]
+    leaves, inner = deque(range(len(runs))), deque()
+    left = sum(sizes)
+
+    def lightest() -> deque:
+        return leaves if leaves and (not inner or runs[leaves[0]][0] <= runs[inner[0]][0]) else inner
+
+    def add(weight: int, nodes: int, below: tuple[int, ...]) -> None:
+        runs.append([weight, nodes, below])
+        sizes.append(nodes)
+        inner.append(len(runs) - 1)
+
+    while left > 1:
+        queue = lightest()
+        k = queue[0]
+        weight, nodes, _ = runs[k]
+        pairs = nodes // 2
+        if pairs:
+            add(2 * weight, pairs, (k,))
+            runs[k][1] -= 2 * pairs
+            if not runs[k][1]:
+                queue.popleft()
+            left -= pairs
+            continue
+        queue.popleft()
+        other = lightest()
+        m = other[0]
+        add(weight + runs[m][0], 1, (k, m))
+        runs[m][1] -= 1
+        if not runs[m][1]:
+            other.popleft()
+        left -= 1
+    depths: list[Counter] = [Counter() for _ in runs]
+    depths[-1][0] = 1
+    for k in range(len(runs) - 1, len(classes) - 1, -1):
+        below = runs[k][2]
+        for depth, n in depths[k].items():
+            for child in below:
+                depths[child][depth + 1] += 2 * n if len(below) == 1 else n
+    total = sum(depths[: len(classes)], Counter())
+    return [total[x] for x in range(max(total) + 1)]
+
+
 def code_lengths(freqs: list[int]) -> list[int]:
-    """Code lengths of a minimum-redundancy code, in the order of the ascending frequencies; ties take leaves first."""
-    n = len(freqs)
-    if n < 2:
-        return [1] * n
-    parent = [0] * (2 * n - 1)
-    joined: list[int] = []
-    leaf = inner = 0
-    for new in range(n, 2 * n - 1):
-        weight = 0
-        for _ in range(2):
-            if leaf < n and (inner == len(joined) or freqs[leaf] <= joined[inner]):
-                weight += freqs[leaf]
-                parent[leaf] = new
-                leaf += 1
-            else:
-                weight += joined[inner]
-                parent[n + inner] = new
-                inner += 1
-        joined.append(weight)
-    depth = [0] * (2 * n - 1)
-    for node in range(2 * n - 3, -1, -1):
-        depth[node] = depth[parent[node]] + 1
-    return sorted(depth[:n], reverse=True)
+    """Code lengths of a minimum-redundancy code, in the order of the ascending frequencies."""
+    counts = length_counts(sorted(Counter(freqs).items()))
+    return [x for x in range(len(counts) - 1, -1, -1) for _ in range(counts[x])]
 
 
 @dataclass(frozen=True)
@@ -109,20 +142,19 @@ class CodeShape:
 
     @classmethod
     def of(cls, hist: DataFrame) -> CodeShape:
-        classes = sorted((r["freq"], r["n"]) for r in hist.groupBy("freq").agg(F.count("*").alias("n")).collect())
-        if sum(n for _, n in classes) > MAX_SYMBOLS:
-            raise ValueError(f"more than {MAX_SYMBOLS} distinct values: store them as they are")
-        lengths = code_lengths([f for f, n in classes for _ in range(n)])
-        if max(lengths, default=0) > MAX_CODE_LENGTH:
-            raise ValueError(f"a code is longer than {MAX_CODE_LENGTH} bits")
-        return cls(tuple(_counts(lengths)))
+        return cls.of_classes([(r["freq"], r["n"]) for r in hist.groupBy("freq").agg(F.count("*").alias("n")).collect()])
 
+    @classmethod
+    def of_classes(cls, classes: list[tuple[int, int]]) -> CodeShape:
+        shape = cls(tuple(length_counts(sorted(classes))))
+        if shape.longest > MAX_CODE_LENGTH:
+            raise ValueError(f"a code is longer than {MAX_CODE_LENGTH} bits")
+        return shape
 
-def _counts(lengths: list[int]) -> list[int]:
-    out = [0] * (max(lengths, default=0) + 1)
-    for x in lengths:
-        out[x] += 1
-    return out
+    @classmethod
+    def sum(cls, shapes: Iterable[CodeShape]) -> CodeShape:
+        """The counts of several codes together, for statistics."""
+        return cls(tuple(map(sum, zip_longest(*(s.counts for s in shapes), fillvalue=0))))
 
 
 def by_rank(shape: CodeShape, rank: Column) -> tuple[Column, Column]:
@@ -143,10 +175,38 @@ def codebook(hist: DataFrame, shape: CodeShape | None = None) -> DataFrame:
     return ranks.select("symbol", "freq", "rank", length.alias("code_len"), code.alias("code"))
 
 
+def column_shapes(hist: DataFrame) -> dict[int, CodeShape]:
+    """The shape of each column's own code, from a histogram with pos."""
+    classes = defaultdict(list)
+    for r in hist.groupBy("pos", "freq").agg(F.count("*").alias("n")).collect():
+        classes[r["pos"]].append((r["freq"], r["n"]))
+    return {pos: CodeShape.of_classes(own) for pos, own in sorted(classes.items())}
+
+
+def column_codebook(hist: DataFrame, shapes: dict[int, CodeShape]) -> DataFrame:
+    """pos, symbol, freq, rank, place, code_len and code: a code of its own for each column, of whose symbols rank and canonical place are numbers.
+
+    All columns are numbered in one order; where each begins follows from how many symbols those before have.
+    """
+    rows, before = [], 0
+    for pos, shape in sorted(shapes.items()):
+        rows.append((pos, before, shape.symbols, [{"length": n, "first": first, "start": start} for n, first, start in shape.firsts]))
+        before += shape.symbols
+    kind = "pos int, before bigint, symbols bigint, firsts array<struct<length:int,first:bigint,start:bigint>>"
+    codes = hist.sparkSession.createDataFrame(rows, kind)
+    ranks = numbered(hist, [F.col("pos").asc(), F.col("freq").asc(), F.col("symbol").asc()])
+    rank = F.col("rank") - F.col("before")
+    placed = ranks.join(codes, "pos").withColumn("rank", rank).withColumn("place", F.col("symbols") - 1 - F.col("rank"))
+    own = placed.withColumn("own", F.element_at(F.filter("firsts", lambda x: x["first"] <= F.col("place")), -1))
+    return own.select("pos", "symbol", "freq", "rank", "place", F.col("own.length").alias("code_len"), (F.col("own.start") + F.col("place") - F.col("own.first")).alias("code"))
+
+
 def encoded(df: DataFrame, book: DataFrame, value: str = "value") -> DataFrame:
-    """df with code_len and code of its value."""
-    own = book.select(F.col("symbol").alias("__symbol"), "code_len", "code")
-    return df.join(own, df[value].eqNullSafe(own["__symbol"])).drop("__symbol")
+    """df with code_len and code of its value; where the book has a code for each pos, of that of its column."""
+    by_column = "pos" in book.columns
+    own = book.select(F.col("symbol").alias("__symbol"), "code_len", "code", *([F.col("pos").alias("__pos")] if by_column else []))
+    same = df[value].eqNullSafe(own["__symbol"])
+    return df.join(own, same & (df["pos"] == own["__pos"]) if by_column else same).drop("__symbol", "__pos")
 
 
 def decoded(df: DataFrame, book: DataFrame, name: str = "value") -> DataFrame:

@@ -13,6 +13,11 @@ def minority(pairs: DataFrame, mcv: object, value: str = "value") -> DataFrame:
     return pairs.where(~F.col(value).eqNullSafe(F.lit(mcv)))
 
 
+def column_minority(pairs: DataFrame, tops: DataFrame, value: str = "value") -> DataFrame:
+    """Pairs (with pos) whose value isn't the most common one of their column; tops: pos and mcv, a row a column."""
+    return pairs.join(tops, "pos").where(~F.col(value).eqNullSafe(F.col("mcv"))).select(*pairs.columns)
+
+
 def sentinels(pairs: DataFrame, mcv: object, value: str = "value") -> DataFrame:
     """pairs with value as 1 for keys that a filter has to hold and 0 for those of the most common value."""
     return pairs.withColumn(value, F.when(F.col(value).eqNullSafe(F.lit(mcv)), 0).otherwise(1))

@@ -3,7 +3,8 @@
 An index has two tiers. The relational one keeps keys and values as a table sorted into buckets, without
 the most common value where a prefilter pays; it answers by joins and knows missing keys. The compact
 one keeps no keys: solved bit strings near the entropy of the values. Arrays are stored by cell, with
-the key and position as the cell's key; ragged rows have their length as a value of its own.
+the key and position as the cell's key; each column has a code of its own unless one is shared, and ragged rows have their
+length as a value of its own.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import json
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karstmap.functions import sizes
@@ -28,7 +29,11 @@ POS = "\x1f"  #: between an array's key and a cell's position
 
 @dataclass
 class Part:
-    """One coded map: the shape of its code, its symbols, its most common value and filter, and its tables."""
+    """One coded map: the shape of its code, its symbols, its most common value and filter, and its tables.
+
+    With columns, each column of an array has a code and a most common value of its own (mcv is a table of pos and mcv); shape
+    then counts the symbols of all codes. Probes of such a part have pos beside the cell's key.
+    """
 
     tier: str
     shape: dictionary.CodeShape
@@ -39,51 +44,69 @@ class Part:
     filter: object = None
     keys: int = 0
     stored_keys: int = 0
+    columns: dict[int, dictionary.CodeShape] | None = None
+
+    def or_common(self, found: DataFrame, out: str, stored: Column | bool = True) -> DataFrame:
+        """found with the most common value where none was found or the key isn't stored."""
+        if self.columns is None:
+            top = F.lit(self.mcv)
+        else:
+            found, top = found.join(self.mcv, "pos", "left"), F.col("mcv")
+        return found.withColumn(out, F.when(F.lit(True) & stored, F.coalesce(F.col(out), top)).otherwise(top)).drop(*([] if self.columns is None else ["mcv"]))
 
     def lookup(self, probe: DataFrame, key: str, out: str) -> DataFrame:
         if self.tier == "relational":
             found = lookup.joined(probe, self.table, key, out=out)
-            return found.withColumn(out, F.coalesce(F.col(out), F.lit(self.mcv))) if self.filter is not None else found
-        places = compact.lookup(self.table, probe, self.shape, self.buckets, key)
-        symbols = self.book.select((F.lit(self.shape.symbols - 1) - F.col("rank")).alias("place"), F.col("symbol").alias(out))
-        known = places.join(symbols, "place", "left").select("text", out)
+            return self.or_common(found, out) if self.filter is not None else found
+        places = compact.lookup(self.table, probe, self.shape, self.buckets, key, self.columns)
+        if self.columns is None:
+            symbols = self.book.select((F.lit(self.shape.symbols - 1) - F.col("rank")).alias("place"), F.col("symbol").alias(out))
+            known = places.join(symbols, "place", "left").select("text", out)
+        else:
+            known = places.join(self.book.select("pos", "place", F.col("symbol").alias(out)), ["pos", "place"], "left").select("text", out)
         found = probe.join(known, as_text(probe[key]) == known["text"], "left").drop("text")
         if self.filter is None:
             return found
-        marked = self.filter.marked(found, key, "__in")
-        return marked.withColumn(out, F.when(F.col("__in"), F.coalesce(F.col(out), F.lit(self.mcv))).otherwise(F.lit(self.mcv))).drop("__in")
+        return self.or_common(self.filter.marked(found, key, "__in"), out, F.col("__in")).drop("__in")
+
 
+def build_part(pairs: DataFrame, prefilter: filters.FilterConfig | None, tier: str, by_column: bool = False) -> Part:
+    """A part over pairs (key, value) with unique keys; by_column: pairs have pos too, and each of its values a code and a most common value of its own.
 
-def build_part(pairs: DataFrame, prefilter: filters.FilterConfig | None, tier: str, book: DataFrame | None = None) -> Part:
-    """A part over pairs (key, value) with unique keys; book: a codebook to share."""
-    hist = dictionary.histogram(pairs).persist()
-    stats = dictionary.dominance(hist)
+    One filter serves all columns, as their cells' keys differ; what it is chosen by are the sums over the columns.
+    """
+    by = ["pos"] if by_column else []
+    hist = dictionary.histogram(pairs, by=by).persist()
+    stats = dictionary.dominance(hist, by)
+    if by_column:
+        sums = stats.agg(*(F.sum(c).alias(c) for c in ("n_keys", "n_unique", "top", "n_minority")))
+        stats = sums.select("*", (F.col("top") / F.col("n_keys")).alias("alpha"), (F.col("n_unique") / F.col("n_keys")).alias("distinct_ratio"))
     config = autofilter.resolved(prefilter, stats)
-    top = dictionary.most_common(hist).first()
-    total = stats.first()["n_keys"]
+    common, row = dictionary.most_common(hist, by), stats.first()
+    total = row["n_keys"]
+    top = common.select(*by, "mcv").persist() if by_column else common.first()["mcv"] if total else None
     made, kept, constant = None, pairs, False
     if config is not None:
-        rare = lookup.minority(pairs, top["mcv"])
-        constant = top["freq"] == total
+        rare = lookup.column_minority(pairs, top) if by_column else lookup.minority(pairs, top)
+        constant = row["n_minority"] == 0
         made = filters.make_filter(rare, config)
         kept = rare if tier == "relational" else made.survivors(pairs)
-        if book is None:
-            hist = dictionary.histogram(kept).persist()
+        hist = dictionary.histogram(kept, by=by).persist()
     if constant:
         hist = hist.limit(0)
         kept = kept.limit(0)
-    own = (book if book is not None else dictionary.codebook(hist)).persist()
-    counts = {r["code_len"]: r["n"] for r in own.groupBy("code_len").agg(F.count("*").alias("n")).collect()}
-    shape = dictionary.CodeShape(tuple(counts.get(k, 0) for k in range(max(counts, default=0) + 1)))
+    columns = dictionary.column_shapes(hist) if by_column else None
+    shape = dictionary.CodeShape.sum(columns.values()) if by_column else dictionary.CodeShape.of(hist)
+    own = (dictionary.column_codebook(hist, columns) if by_column else dictionary.codebook(hist, shape)).persist()
     if tier == "relational":
         stored_keys = kept.count()
         buckets = 1 + stored_keys // KEYS_PER_BUCKET
         table = kept.select(as_text("key").alias("key"), "value").withColumn("bucket", bucket_of("key", buckets))
-        return Part(tier, shape, own, buckets, table, top["mcv"], made, total, stored_keys)
+        return Part(tier, shape, own, buckets, table, top, made, total, stored_keys, columns)
     coded = dictionary.encoded(kept, own).select("key", "code", "code_len").persist()
     sums = coded.agg(F.count("*").alias("n"), F.coalesce(F.sum("code_len"), F.lit(0)).alias("bits")).first()
     buckets = compact.bucket_count(sums["bits"])
-    return Part(tier, shape, own, buckets, compact.build(coded, shape, buckets).persist(), top["mcv"], made, total, sums["n"])
+    return Part(tier, shape, own, buckets, compact.build(coded, shape, buckets).persist(), top, made, total, sums["n"], columns)
 
 
 @dataclass
@@ -115,7 +138,7 @@ class Index:
         else:
             sized = self.lengths.lookup(text, "__probe", "__n").withColumn("__n", F.least(F.greatest(F.coalesce("__n", F.lit(0)), F.lit(0)), F.lit(self.width)))
         asked = sized.where("__n > 0").select("__probe", F.explode(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int"))).alias("pos"))
-        asked = asked.withColumn("__cell", F.concat("__probe", F.lit(POS), F.col("pos").cast("string")))
+        asked = asked.withColumn("pos", F.col("pos").cast("int")).withColumn("__cell", F.concat("__probe", F.lit(POS), F.col("pos").cast("string")))
         cells = self.part.lookup(asked, "__cell", "value").where("value is not null")
         found = arrays.rows(cells, "__probe", out)
         if self.lengths is not None:
@@ -180,7 +203,11 @@ class Index:
             tables[f"{name}_table"], tables[f"{name}_book"] = part.table, part.book
             parts[name] = {"buckets": part.buckets, "counts": list(part.shape.counts), "keys": part.keys, "stored_keys": part.stored_keys, "filter": None}
             kind = part.book.schema["symbol"].dataType.simpleString()
-            tables[f"{name}_mcv"] = self.spark.createDataFrame([(part.mcv,)], part.book.select("symbol").schema) if part.mcv is not None else self.spark.createDataFrame([], f"symbol {kind}")
+            if part.columns is not None:
+                parts[name]["columns"] = [[pos, *shape.counts] for pos, shape in part.columns.items()]
+                tables[f"{name}_mcv"] = part.mcv
+            else:
+                tables[f"{name}_mcv"] = self.spark.createDataFrame([(part.mcv,)], part.book.select("symbol").schema) if part.mcv is not None else self.spark.createDataFrame([], f"symbol {kind}")
             if part.filter is not None:
                 parts[name]["filter"], tables[f"{name}_filter"] = filters.saved(part.filter)
         storage.save(self.spark, path, {"kind": f"{self.layout}-{self.kind}", "layout": self.layout, "value": self.kind, "tier": self.tier, "width": self.width, "parts": parts}, tables, {f"{n}_table": "bucket" for n in parts})
@@ -192,8 +219,12 @@ def load(spark: SparkSession, path: str, kind: str | None = None) -> Index:
     parts = {}
     for name, own in manifest["parts"].items():
         made = filters.read(own["filter"], tables[f"{name}_filter"]) if own["filter"] else None
-        top = tables[f"{name}_mcv"].first()
-        parts[name] = Part(manifest["tier"], dictionary.CodeShape(tuple(own["counts"])), tables[f"{name}_book"], own["buckets"], tables[f"{name}_table"], top["symbol"] if top else None, made, own["keys"], own["stored_keys"])
+        columns, top = None, tables[f"{name}_mcv"]
+        if "columns" in own:
+            columns = {pos: dictionary.CodeShape(tuple(counts)) for pos, *counts in own["columns"]}
+        else:
+            top = row["symbol"] if (row := top.first()) else None
+        parts[name] = Part(manifest["tier"], dictionary.CodeShape(tuple(own["counts"])), tables[f"{name}_book"], own["buckets"], tables[f"{name}_table"], top, made, own["keys"], own["stored_keys"], columns)
     return Index(manifest["layout"], manifest["value"], manifest["tier"], parts["main"], parts.get("lengths"), manifest["width"])
 
 
@@ -219,13 +250,14 @@ def build(df: DataFrame, key: str = "key", value: str = "value", *, prefilter: f
     rows = pairs.withColumnRenamed("value", "values")
     if permutation is not None:
         rows = permute.permuted(rows, permutation).persist()
-    cells = arrays.cells(rows).select(F.concat("key", F.lit(POS), F.col("pos").cast("string")).alias("key"), "value")
+    by_column = not shared_codebook and strategy != "packed"
+    cells = arrays.cells(rows).select(F.concat("key", F.lit(POS), F.col("pos").cast("string")).alias("key"), "value", *([F.col("pos").cast("int").alias("pos")] if by_column else []))
     width = rows.agg(F.max(F.size("values"))).first()[0]
     layout = "packed" if strategy == "packed" else kind.layout
     lengths = None
     if layout != "fixed":
         lengths = build_part(arrays.lengths(rows).select("key", F.col("length").alias("value")), prefilter, tier)
-    return Index(layout, kind.kind, tier, build_part(cells, None if layout == "packed" else prefilter, tier), lengths, width)
+    return Index(layout, kind.kind, tier, build_part(cells, None if layout == "packed" else prefilter, tier, by_column), lengths, width)
 
 
 def from_lists(spark: SparkSession, keys: object, values: object, **options: object) -> Index:

@@ -123,6 +123,35 @@ def test_arrays(spark, tmp_path):
     assert all(sorted(v) == list(range(6)) for v in mixed.query_batch(KEYS[:300]))
 
 
+def test_column_codes(spark, tmp_path):
+    """Each column has a code and a most common value of its own, which takes fewer bits than one code for all."""
+    draw = np.random.default_rng(4)
+    rows = [[int(i % 10 == 0), 100 + int(draw.integers(8)), 7, 50 if draw.random() < 0.97 else int(draw.integers(50))][: 4 - i % 2] for i in range(1000)]
+    fixed = [r + [50] * (4 - len(r)) for r in rows]
+    bits = [check(spark, KEYS, rows, prefilter=None, shared_codebook=shared).get_stats()["bucket_stats"]["total_solution_bits"] for shared in (False, True)]
+    assert bits[0] < 0.8 * bits[1]
+    for values, tier, config in ((rows, "compact", k.AutoFilterConfig()), (fixed, "compact", k.XORFilterConfig(6)), (fixed, "relational", k.BloomFilterConfig(8, 4))):
+        index = check(spark, KEYS, values, prefilter=config, tier=tier)
+        index.save(f"{tmp_path}/{tier}")
+        assert k.load(spark, f"{tmp_path}/{tier}").query_batch(KEYS) == values
+    constant = [[7, 8]] * 1000
+    assert check(spark, KEYS, constant, prefilter=k.BloomFilterConfig(8, 4)).get_stats()["filter_stats"]["num_elements"] == 0
+
+
+def test_code_of_any_number_of_symbols():
+    """Against counting out every symbol; a class of 10^9 symbols costs no more than one of 10."""
+    draw = np.random.default_rng(5)
+    for _ in range(300):
+        freqs = sorted(draw.integers(1, int(draw.integers(2, 40)), int(draw.integers(2, 60))).tolist())
+        heap, total = list(freqs), 0
+        while len(heap) > 1:
+            heap.sort()
+            heap = [heap[0] + heap[1], *heap[2:]]
+            total += heap[0]
+        assert sum(f * n for f, n in zip(freqs, dictionary.code_lengths(freqs), strict=True)) == total
+    assert dictionary.length_counts([(1, 1 << 30), (1 << 30, 1)]) == [0, 1, *[0] * 29, 1 << 30]
+
+
 def test_keys(spark):
     assert k.from_lists(spark, [b"a", "b"], [1, 2]).query(b"b") == 2
     numbers = np.arange(50, dtype=np.uint32)
