@@ -187,7 +187,8 @@ def lookup(index: DataFrame, probe: DataFrame, shape: CodeShape, buckets: int, k
     more = [] if columns is None else [F.col("pos").cast("int").alias("pos")]
     text = probe.select(as_text(key).alias("text"), *more).where("text is not null").distinct()
     keys = text.select("text", *wide("text"), *more).withColumn("bucket", F.pmod("h1", F.lit(buckets)).cast("bigint"))
-    return keys.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(run, "text string, place bigint" + (", pos int" if more else ""))
+    own = index.withColumn("bucket", F.col("bucket").cast("bigint"))  # read from folder names it is an int, which hashes into other partitions
+    return keys.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(run, "text string, place bigint" + (", pos int" if more else ""))
 
 
 def bucket_count(total_bits: int) -> int:

@@ -210,7 +210,7 @@ class Index:
                 tables[f"{name}_mcv"] = self.spark.createDataFrame([(part.mcv,)], part.book.select("symbol").schema) if part.mcv is not None else self.spark.createDataFrame([], f"symbol {kind}")
             if part.filter is not None:
                 parts[name]["filter"], tables[f"{name}_filter"] = filters.saved(part.filter)
-        storage.save(self.spark, path, {"kind": f"{self.layout}-{self.kind}", "layout": self.layout, "value": self.kind, "tier": self.tier, "width": self.width, "parts": parts}, tables, {f"{n}_table": "bucket" for n in parts})
+        storage.save(self.spark, path, {"kind": f"{self.layout}-{self.kind}", "layout": self.layout, "value": self.kind, "tier": self.tier, "width": self.width, "parts": parts}, tables, {f"{n}_table": "bucket" for n in parts if self.tier == "relational"})
 
 
 def load(spark: SparkSession, path: str, kind: str | None = None) -> Index:

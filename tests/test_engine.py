@@ -294,3 +294,21 @@ def test_generators(spark, tmp_path):
     assert [r["start"] for r in generators.csv_tiers(spark, str(tmp_path / "t.csv")).collect()] == [0, 3, 5]
     share = generators.alpha_mix(spark, 5000, 0.9, "zipf").where(f"value = {generators.MAJORITY}").count() / 5000
     assert 0.87 < share < 0.93
+
+
+def test_loaded_index_over_several_partitions(spark, tmp_path):
+    """A loaded compact index answers for every bucket where the buckets are dealt to several tasks, also one whose buckets were folders."""
+    rows = [(i, i * 7919 % 16) for i in range(4000)]
+    df = spark.createDataFrame(rows, "key bigint, value bigint")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = k.build(df)
+        assert index.part.buckets > 4
+        index.save(f"{tmp_path}/own")
+        back = k.load(spark, f"{tmp_path}/own")
+        assert sorted(map(tuple, back.lookup(df.select("key")).collect())) == rows
+        back.part.table.write.partitionBy("bucket").parquet(f"{tmp_path}/folders")
+        back.part.table = spark.read.parquet(f"{tmp_path}/folders")
+        assert sorted(map(tuple, back.lookup(df.select("key")).collect())) == rows
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
