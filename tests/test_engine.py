@@ -312,3 +312,34 @@ def test_loaded_index_over_several_partitions(spark, tmp_path):
         assert sorted(map(tuple, back.lookup(df.select("key")).collect())) == rows
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def plain_round(rows):
+    """A refinement round on lists: pairs of cell and column, best first, and what is left where there is room."""
+    counts = {}
+    for row in rows:
+        for p, v in enumerate(row):
+            counts[v, p] = counts.get((v, p), 0) + 1
+    out = []
+    for row in rows:
+        slots, done = {}, set()
+        for _, _, p, i in sorted((-counts[v, p], v, p, i) for i, v in enumerate(row) for p in range(len(row)) if (v, p) in counts):
+            if p not in slots and i not in done:
+                slots[p] = row[i]
+                done.add(i)
+        rest = iter(v for i, v in enumerate(row) if i not in done)
+        out.append([slots[p] if p in slots else next(rest) for p in range(len(row))])
+    return out
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_refine_round(spark, kind):
+    """Rows are refined where they are while the scores can be sent to all tasks; joined scores give the same."""
+    draw = np.random.default_rng(5)
+    rows = [[int(draw.integers(30)) if draw.random() < 0.5 else 1 for _ in range(draw.choice([0, 1, 3, 4, 16, 17, 20]))] for _ in range(200)]
+    rows = [[v if kind == "bigint" else f"é{v}" for v in row] for row in rows]
+    df = spark.createDataFrame(list(enumerate(rows)), f"key int, values array<{kind}>")
+    near, joined = permute.refine_round(df), permute.refine_round(df, most=3)
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+    for got in (near, joined):
+        assert [r["values"] for r in got.orderBy("key").collect()] == plain_round(rows)
