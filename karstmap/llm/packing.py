@@ -31,21 +31,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karstmap.llm.common import by_batch, slices, stored
+from karstmap.llm.common import by_batch, kept, slices, stored
 
 CAPACITY, END_ID = 4096, 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 GROUPS, ROUNDS, RATE, GAP = 96, 12_000, 0.1, 0.01
 FILLER = 12  #: pieces of at most this part of the capacity fill the room that configurations leave
 SLICE, LEARN = 1000, 1000
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of white-space separated words as little-endian bytes; words met before are looked up.
 
     The tokenizer drops white space, never merges over it and lower-cases, so a text's ids are its
-    words' in a row. New words of letters alone are encoded together, as one text. When the newer half of the
-    store is full it becomes the older one; words still in use move on from there.
+    words' in a row. Words and ids are Arrow arrays, and only new words become Python strings. New words of letters alone are
+    encoded together, as one text. When the store is full, the half that fewest slices had goes.
     """
 
     def __init__(self, path: str):
@@ -54,70 +54,68 @@ class WordIds(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.older: dict[str, bytes] = {}
         self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # of ids that end a piece
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.tails = {c: self.encode(c) for c in ".,"}
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            core = word[:-1]
-            ids = self[core] + self.tails[word[-1]] if core.isalpha() and word[-1] in self.tails else self.encode(word)
-        self[word] = ids
-        return ids
-
-    def learn(self, words: set[str]) -> None:
-        """Encodes the letters of the new words in a few calls; letters that don't stay one piece are left for later."""
-        tails = self.tails
-        derived = [w for w in words if w[-1:] in tails and w[:-1].isalpha()]
-        new = {w[:-1] for w in derived}
-        new.update(w for w in words if w.isalpha())
-        new = [w for w in new if w not in self and w not in self.older]
-        for at in range(0, len(new), LEARN):
-            few = new[at : at + LEARN]
-            raw = np.array(self.tokenizer.encode_batch_fast([" ".join(few)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.last[raw]) + 1
-            if len(ends) == len(few):
-                ids, stops = raw.tobytes(), (ends * 4).tolist()
-                self.update(zip(few, [ids[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
-        self.update({w: self[w[:-1]] + tails[w[-1]] for w in derived})
+        self.words, self.codes, self.met = pa.array([], pa.string()), pa.array([], pa.large_binary()), np.zeros(0, np.int64)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """Encodes and adds new words, those of letters alone in a few calls; the place of each among those added."""
+        letters = np.fromiter(map(str.isalpha, words), bool, len(words))
+        order = np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters)])
+        found: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        whole = int(letters.sum())
+        for at in range(0, len(order), LEARN):
+            few = [words[i] for i in order[at : at + LEARN].tolist()]
+            if at + len(few) <= whole:
+                raw = self.encode([" ".join(few)])[0]
+                ends = np.flatnonzero(self.last[raw]) + 1
+                if len(ends) == len(few):  # each stayed one piece
+                    found.append(raw)
+                    sizes.append(np.diff(ends, prepend=0))
+                    continue
+            own = self.encode(few)
+            found += own
+            sizes.append(np.array(list(map(len, own)), np.int64))
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) * 4
+        codes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(order), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.concatenate(found).astype("<u4").tobytes())])
+        self.words = pa.concat_arrays([self.words, pa.array([words[i] for i in order.tolist()], pa.string())])
+        self.codes = pa.concat_arrays([self.codes, codes])
+        self.met = np.concatenate([self.met, np.zeros(len(order), np.int64)])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return place
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, and where each text's begin and the last one's end."""
-        if len(self) > CACHE_WORDS:
-            self.older = dict(self)
-            self.clear()
+        if len(self.words) > CACHE_WORDS:
+            keep = np.sort(np.argsort(-self.met, kind="stable")[: CACHE_WORDS // 2])
+            self.words, self.codes, self.met = self.words.take(pa.array(keep)), self.codes.take(pa.array(keep)), self.met[keep] // 2
         texts = texts.fill_null("")
         # capitals inside a special token's marks would make it one, so such texts keep theirs
         lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         apart = pc.replace_substring_regex(lower, r"(\p{L})([.,])([ \n]|$)", r"\1 \2\3")  # a piece of its own in any case
         split = pc.split_pattern(pc.replace_substring(apart, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), np.asarray(coded.indices)
-        self.learn({w for w in words if w not in self})
-        own = list(map(self.__getitem__, words))
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        flat, starts = np.frombuffer(b"".join(own), "<u4"), np.cumsum(sizes) - sizes
-        count = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(count)])
-        places = np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], count)
-        return flat[places], ends[np.asarray(split.offsets) - split.offsets[0].as_py()]
-
-
-_WORDS: dict[str, WordIds] = {}
+        at = pc.index_in(coded.dictionary, self.words)
+        place = np.array(at.fill_null(-1), np.int64)
+        if at.null_count:
+            known = len(self.words)
+            place[place < 0] = known + self.learn(coded.dictionary.filter(at.is_null()).to_pylist())
+        self.met[place] += 1
+        own = self.codes.take(pa.array(place[np.asarray(coded.indices)]))
+        _, ends, held = own.buffers()
+        ends = np.frombuffer(ends, np.int64, len(own) + 1) // 4 if len(own) else np.zeros(1, np.int64)
+        return np.frombuffer(held or b"", "<u4", int(ends[-1])), ends[np.asarray(split.offsets) - split.offsets[0].as_py()]
 
 
 def word_ids(path: str) -> WordIds:
     """One tokenizer for a worker process."""
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+    return kept("words", path, lambda: WordIds(path))
 
 
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

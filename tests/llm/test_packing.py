@@ -4,9 +4,10 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from karstmap.llm import packing, queries
+from karstmap.llm import common, packing, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -115,3 +116,25 @@ def test_knapsack_is_best():
         best = max(float(values @ x) for x in np.ndindex(*(counts + 1)) if lengths @ np.array(x) <= 20)
         assert np.isclose(sum(values[i] * n for i, n in got.items()), best)
         assert sum(lengths[i] * n for i, n in got.items()) <= 20
+
+
+def test_word_store(monkeypatch):
+    """Words and their ids are arrays, of a bounded number, and those that many slices had stay when the store is full."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 400)
+    words, plain = packing.WordIds(queries.public_tokenizer()), packing.WordIds(queries.public_tokenizer())
+    rng = np.random.default_rng(3)
+    for k in range(30):
+        texts = [" ".join(["common", "it's", *("".join(map(chr, rng.integers(97, 123, 4))) for _ in range(20))]) for _ in range(10)] + [None, "", "a1 . Foo.\n\tbar"]
+        flat, ends = words.ids(pa.array(texts, pa.string()))
+        want = plain.encode([t or "" for t in texts])
+        assert [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [x.tolist() for x in want]
+        assert len(words.words) == len(words.codes) == len(words.met) <= 400 + 250
+        assert not k or "common" in words.words.to_pylist()
+    assert len(words.ids(pa.array([], pa.string()))[0]) == 0
+
+
+def test_worker_keeps_one_thing():
+    """What a stage's workers hold from task to task goes when the next stage's is made."""
+    made = [common.kept(name, 1, lambda name=name: [name]) for name in ("parser", "words")]
+    assert common.kept("words", 1, list) is made[1] and common.kept("parser", 1, list) == []
+    common._KEPT.clear()
