@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from karstmap.llm.automaton import SuffixAutomaton
-from karstmap.llm.common import by_batch, fold_of
+from karstmap.llm.common import by_batch, fold_of, kept
 
 SAMPLE_DOCS, SAMPLE_CHARS = 200, 40_000
 CACHE_WORDS = 250_000
@@ -130,16 +130,10 @@ def identified(df: DataFrame, learned: dict[str, list[str]], id_col: str = "doc_
     return df.select(*dict.fromkeys((*names, text_col))).mapInArrow(by_batch(run), ", ".join([*kinds, "lang_pred string", "score double"]))
 
 
-_PARSERS: dict[bytes, CrossParser] = {}
-
-
 def _parser(learned: dict[str, list[str]]) -> CrossParser:
     """One parser for a worker process, kept from task to task while the sample is the same."""
     key = hashlib.sha256(json.dumps(list(learned.items())).encode()).digest()
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = CrossParser(learned)
-    return _PARSERS[key]
+    return kept("parser", key, lambda: CrossParser(learned))
 
 
 def learnable(df: DataFrame, id_col: str = "doc_id", folds: int = 4, held: int = 2) -> DataFrame:
