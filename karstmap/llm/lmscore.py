@@ -26,31 +26,35 @@ from __future__ import annotations
 
 import gc
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from karstmap.llm.common import fold_of, slices, stored, utf8
+from karstmap.llm.common import fold_of, slices, stored
 
 STATES, ROUNDS, SAMPLE_ROUNDS, SAMPLE_DOCS = 8, 4, 25, 300
 HEAD_WORDS, ENDINGS, ENDING_BYTES = 200_000, 4096, 3
-BLOCK_WORDS, CHUNK, BATCH_TOKENS, FLUSH = 8_192, 4096, 500_000, 250_000
+BLOCK_WORDS, CHUNK, BATCH_TOKENS, FLUSH, SLICE = 8_192, 4096, 500_000, 250_000, 1000
 RARE_LEVEL = 2  #: words of under 4 occurrences are always told by their endings, which so have the weight that new words need
 END = 0  #: the first symbol; the endings and then the head words follow
 FIRST_HEAD = ENDINGS + 1
 PRIOR = 0.05  #: share of the unigram distribution mixed into each state's
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words of the text with A-Z in lower case; the end token is left to the caller."""
-    return (text or b"").lower().split()
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Where each text's words begin and the last one's end, and all words in a row, with A-Z in lower case; the end tokens are left to the caller."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    flat = split.flatten()
+    some = pc.greater(pc.binary_length(flat), 0)  # white space at an end splits off an empty word
+    at = np.concatenate([[0], np.cumsum(np.asarray(some), dtype=np.int64)])
+    offsets = np.asarray(split.offsets)
+    return at[offsets - offsets[0]], flat.filter(some).dictionary_encode()
 
 
 def ending(word: bytes) -> int:
@@ -68,21 +72,22 @@ def counted(df: DataFrame, text_col: str = "text") -> DataFrame:
     """word and n over all texts; the empty word counts the ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-            held.clear()
-            return out
-
-        for batch in slices(batches):
-            for text in utf8(batch, text_col):
-                held.update(tokens(text))
-                held[b""] += 1
-                if len(held) > FLUSH:
-                    yield flush()
+        held: list[pa.Table] = []
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+        for batch in slices(batches, SLICE):
+            _, own = words_of(batch.column(text_col))
+            times = np.bincount(np.asarray(own.indices), minlength=len(own.dictionary))
+            words = pa.concat_arrays([own.dictionary.cast(pa.binary()), pa.array([b""], pa.binary())])
+            held.append(pa.table({"word": words, "n": pa.array(np.append(times, batch.num_rows), pa.int64())}))
+            if sum(map(len, held)) > 2 * FLUSH:
+                held[:] = [summed()]
+                if len(held[0]) > FLUSH:
+                    yield from held.pop().combine_chunks().to_batches()
         if held:
-            yield flush()
+            yield from summed().combine_chunks().to_batches()
 
     return df.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -342,23 +347,24 @@ def coded(df: DataFrame, words: list[bytes], id_col: str = "doc_id", text_col: s
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: i for i, w in enumerate(shared.value, FIRST_HEAD)}.get
+        heads = pa.array(shared.value, pa.binary())
         row = TaskContext.get().partitionId() << 40
-        for batch in slices(batches):
-            ids, rare, times = [], [], []
-            for text in utf8(batch, text_col):
-                own = tokens(text)
-                symbols = np.fromiter(map(place, own, repeat(-1)), np.int32, len(own))
-                others = [own[i] for i in np.flatnonzero(symbols < 0).tolist()]
-                symbols[symbols < 0] = [ending(w) for w in others]
-                few = Counter(others)
-                rare.append(list(few))
-                times.append(list(few.values()))
-                ids.append(symbols.tobytes() + END.to_bytes(4, "little"))
+        for batch in slices(batches, SLICE):
+            ends, own = words_of(batch.column(text_col))
+            names, at = own.dictionary.cast(pa.binary()), np.asarray(own.indices)
+            symbol = FIRST_HEAD + np.asarray(pc.index_in(names, heads).fill_null(-FIRST_HEAD)).astype(np.int32)
+            symbol[symbol < FIRST_HEAD] = [ending(w) for w in names.filter(pa.array(symbol < FIRST_HEAD)).to_pylist()]
+            ids = np.insert(symbol[at], ends[1:], np.int32(END))
+            sizes = np.diff(ends)
+            other = symbol[at] < FIRST_HEAD
+            pairs, times = np.unique(np.repeat(np.arange(batch.num_rows), sizes)[other] * max(1, len(names)) + at[other], return_counts=True)
+            whose, which = np.divmod(pairs, max(1, len(names)))
+            lists = pa.array(np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=batch.num_rows))]), pa.int32())
+            coded_ids = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.array(4 * (ends + np.arange(len(ends))), pa.int32()).buffers()[1], pa.py_buffer(ids.astype(np.int32).tobytes())])
+            rare, times = pa.ListArray.from_arrays(lists, names.take(pa.array(which))), pa.ListArray.from_arrays(lists, pa.array(times, pa.int32()))
             rows = pa.array(range(row, row + batch.num_rows), pa.int64())
             row += batch.num_rows
-            columns = [rows, batch.column(id_col), batch.column(train_col), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", id_col, train_col, "ids", "rare", "times"])
+            yield pa.RecordBatch.from_arrays([rows, batch.column(id_col), batch.column(train_col), coded_ids, rare, times], ["row", id_col, train_col, "ids", "rare", "times"])
 
     return df.select(id_col, text_col, train_col).mapInArrow(run, f"row long, `{id_col}` {kind}, `{train_col}` boolean, ids binary, rare array<binary>, times array<int>")
 

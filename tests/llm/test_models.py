@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from karstmap.llm import lmscore, queries, toxicity
@@ -259,3 +260,11 @@ def test_chunks_change_nothing():
         assert np.allclose(m.logp(coded, chunk), [math.log(plain_forward(m, x)) for x in coded])
     single = lmscore.Model(*(x.astype(np.float32) for x in (m.start, m.move, m.emit)))
     assert all(np.allclose(a, b, rtol=1e-3) for a, b in zip(single.expected(coded, 16), whole, strict=True))
+
+
+def test_words():
+    """Words split in Arrow are those of bytes."""
+    texts = [None, "", "  ", " A\t\x0bb\x1cÉ É  ", "x\x85Y z\n"]
+    ends, words = lmscore.words_of(pa.array(texts, pa.string()))
+    got = words.cast(pa.string()).to_pylist()
+    assert [[w.encode() for w in got[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)] == [(t or "").encode().lower().split() for t in texts]
